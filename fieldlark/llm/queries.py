@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlark.session import checkpoint_dir, ship_package
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    checkpoint_dir(ship_package(spark))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -18,6 +21,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), window=2048).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = _read(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _read(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, _read(spark, sf_dir, "labels")), threshold=0.5)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``: shard sizes differ by one row at most."""
+    from .sharding import shard_rows
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    return shard_rows(docs, shards=8).select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -26,6 +55,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op5_quality": op5_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 
