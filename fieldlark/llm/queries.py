@@ -28,6 +28,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, _read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, threshold=80)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -56,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_quality": op5_quality,
+    "op7_near_dedup": op7_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
