@@ -10,11 +10,15 @@ SMALL / 0.8 have a hash function per bucket. Sets in between have both kinds,
 so any two that can reach the threshold share a kind.
 
 Bands of registers are hashed; a pair of linked sets (0.8) shares none of the
-40 bands of 5 with odds of 1e-7. In a bucket of a band no pairs are made at
-first: every class is tested against the least class it meets, and links found
-make components. Then classes of different components which still share a
-bucket are tested, each such pair once. A test is the collision-corrected
-register estimate with a margin of five deviations, then the full sets.
+40 bands of 5 with odds of 1e-7. No bucket's pairs are all made: every class is
+held against one class of each bucket it is in, the ``HUBS`` best by estimate are
+tested, and the links found make components. What may still be linked are
+classes of different components in one bucket. Those classes order their
+members by rarity and meet only over members of their rarest fifth that leave
+enough others behind, as sets that reach the threshold must (prefix and
+positional filter), so variants of one text with many edits of their own do not
+meet again. A test is the collision-corrected register
+estimate with a margin of five deviations, then the full sets.
 
 Nulls and texts without words have an empty set and are linked with nothing.
 Repeated rows are copies; rows are told apart by their set, so repeated ids are
@@ -30,12 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .blocks import Block, blocks, mix
 from .components import components
 
 BANDS, ROWS, MANTISSA, SMALL = 40, 5, 10, 250
 BUCKETS = BANDS * ROWS
+HUBS = 3
+RARITY_BITS = 18  # members are counted in 2**18 cells, the most the driver holds
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, BUCKETS, dtype=np.uint64)
@@ -134,7 +141,7 @@ def _band_keys() -> Column:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose registers allow the threshold."""
+    """Pairs (a, b, likeness) whose registers allow the threshold."""
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "small", "large"))), side)
 
@@ -152,16 +159,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFram
                     same[use] = (both[0] == both[1]).mean(1)
                     done[use] = True
             margin = 5 * np.sqrt(0.16 * (1 / BUCKETS + 1 / np.maximum(n_a, n_b)))
-            keep = done & (estimate(same, n_a, n_b) >= threshold / 100 - margin)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            like = estimate(same, n_a, n_b)
+            keep = done & (like >= threshold / 100 - margin)
+            yield pa.RecordBatch.from_arrays([col["a"], col["b"], pa.array(like)], names=["a", "b", "likeness"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, likeness double")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = classes.select("node", "first_id", "h1", "h2").join(need, "node", "left_semi")
+def _members(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, members): full sets of the nodes, made from their texts again."""
+    need = classes.select("node", "first_id", "h1", "h2").join(nodes, "node", "left_semi")
     texts = docs.join(need, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "h1", "h2", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +177,51 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
             keep = [i for i, s in enumerate(found) if set_hash(s) == want[i]]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i].tobytes() for i in keep], pa.binary())], names=["node", "members"])
 
-    members = texts.mapInArrow(sets, "node long, members binary").dropDuplicates(["node"])
+    return texts.mapInArrow(sets, "node long, members binary").dropDuplicates(["node"])
+
+
+def _meeting(nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components whose rarest members meet. nodes: (node, component)."""
+    cells = 1 << RARITY_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                np.add.at(total, (np.frombuffer(v.as_buffer(), np.uint64) >> _U(64 - RARITY_BITS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    found = members.select("members").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(cells, np.int64)
+    often[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    shared = members.sparkSession.sparkContext.broadcast(often)  # 2 MB
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, component, size, member, place = [], [], [], [], []
+            for i, c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = np.frombuffer(v.as_buffer(), np.uint64)
+                n = len(s)
+                first = s[np.lexsort((s, shared.value[(s >> _U(64 - RARITY_BITS)).astype(np.int64)]))[: n - -(-n * threshold // 100) + 1]]
+                member.append(first.view(np.int64))
+                place.append(np.arange(len(first)))
+                for to, x in ((node, i), (component, c), (size, n)):
+                    to.append(np.full(len(first), x, np.int64))
+            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (node, component, size, member, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["node", "component", "n", "member", "place"])
+
+    rare = nodes.join(members, "node").select("node", "component", "members").mapInArrow(rarest, "node long, component long, n long, member long, place long").checkpoint()
+    mixed = rare.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("member")
+    left = rare.join(mixed, "member").checkpoint()
+    right = left.select("member", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("other"))
+    # the first member that linked sets share leaves enough others behind it in both
+    near_size = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) * (100 + threshold) >= (F.col("n") + F.col("n_b")) * threshold
+    return left.withColumnRenamed("node", "a").join(right, "member").where((F.col("component") != F.col("other")) & (F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
+
+
+def _confirmed(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,20 +249,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"))
     classes = classes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
 
-    bands = classes.select("node", "n", F.explode(_band_keys()).alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    shared = bands.join(hubs, "key").select("key", "node", "n", "hub").checkpoint()
-    first = shared.groupBy("node").agg(F.min("hub").alias("hub")).where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).checkpoint()
-    links = _confirmed(_estimated(first, classes, threshold).checkpoint(), classes, docs, shingle, threshold).checkpoint()
-
-    grouped = shared.join(components(links), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")).checkpoint()
+    bands = classes.select("node", F.explode(_band_keys()).alias("key"))
+    hubs = bands.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    shared = bands.join(hubs, "key").select("key", "node", "hub").checkpoint()
+    met = shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    order = Window.partitionBy("b").orderBy(F.col("likeness").desc(), "a")
+    best = _estimated(met, classes, threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
+    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    links = _confirmed(first, _members(ends, classes, docs, shingle).checkpoint(), threshold).checkpoint()
+
+    grouped = shared.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")).checkpoint()
     mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = grouped.join(mixed, "key").checkpoint()
-    right = left.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-    near_size = (F.col("n") * 100 >= F.col("n_b") * threshold) & (F.col("n_b") * 100 >= F.col("n") * threshold)
-    cross = left.withColumnRenamed("node", "a").join(right, "key").where((F.col("component") != F.col("other")) & (F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
-    cross = cross.join(first, ["a", "b"], "left_anti").checkpoint()
-    more = _confirmed(_estimated(cross, classes, threshold).checkpoint(), classes, docs, shingle, threshold)
+    open_nodes = grouped.join(mixed, "key").select("node", "component").distinct().checkpoint()
+    members = _members(open_nodes, classes, docs, shingle).checkpoint()
+    cross = _meeting(open_nodes, members, threshold).join(first, ["a", "b"], "left_anti")
+    more = _confirmed(_estimated(cross, classes, threshold).select("a", "b").checkpoint(), members, threshold)
     links = links.union(more).checkpoint()
 
     named = classes.join(components(links), "node", "left").select("h1", "h2", "first_id", F.coalesce("component", "node").alias("component"))
