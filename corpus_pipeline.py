@@ -1,10 +1,79 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality, near duplicates, repeated sentences, benchmark leaks, packing.
+
+Each stage takes the documents that its predecessor kept (columns of
+``documents``) and returns the ones it keeps, whole; the last returns the
+packed pieces. A stage is written as Parquet and reread as the next one's
+``docs``. SQL cannot express the stages; their tests hold them against
+brute-force versions.
+
+Null texts are empty to the classifier, linked with nothing, unchanged by
+sentence removal, leak nothing and pack as their end id; empty tables pass
+through; extra columns are kept until packing.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldlark.llm.decontamination import find_leaks
+from fieldlark.llm.near_dedup import near_duplicates
+from fieldlark.llm.packing import pack_documents
+from fieldlark.llm.quality import fit_quality, score_quality
+from fieldlark.llm.span_dedup import remove_repeats
+from fieldlark.session import checkpoint_dir, ship_package
+
+def _prepare(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    checkpoint_dir(ship_package(spark))
+    return docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    docs = _prepare(spark, docs)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model, threshold=0.3, keep_columns=True).where("predicted = 1").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (5-word shingles, 0.8)."""
+    docs = _prepare(spark, docs)
+    gone = near_duplicates(docs, shingle=5, threshold=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti").select(docs.columns)
+
+
+def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without repeated sentence runs, n_chars as of the new text."""
+    docs = _prepare(spark, docs)
+    out = remove_repeats(docs, keep_columns=True).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    docs = _prepare(spark, docs)
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks.withColumnRenamed("doc_id", "leak_id"), F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    docs = _prepare(spark, docs)
+    return pack_documents(docs, window=2048).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("span_dedup", span_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; what a stage keeps is written to the shared checkpoint folder."""
+    ship_package(spark)
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .blocks import text_buffers
 from .models import fit_logistic, held_out_of, labelled_sample, logistic
@@ -100,15 +101,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", p
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) of every whole text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+    """(id, held_out, score, predicted) of every whole text; keep_columns: beside all columns of docs but those named alike."""
+    added = ("held_out", "score", "predicted")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added)) if keep_columns else docs.select(id_col, text_col)
+    kept = docs.columns if keep_columns else [id_col]
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = text_buffers(batch.column(1))
-            edges, mem = at.tolist(), memoryview(data)
-            score = np.concatenate([np.zeros(0), *(model.score([bytes(mem[edges[i] : edges[i + 1]]) for i in range(k, min(k + 256, len(batch.column(1))))]) for k in range(0, len(batch.column(1)), 256))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held_out_of(batch.column(0).to_pylist())), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+            data, at = text_buffers(batch.column(at_text))
+            edges, mem, n = at.tolist(), memoryview(data), batch.num_rows
+            score = np.concatenate([np.zeros(0), *(model.score([bytes(mem[edges[i] : edges[i + 1]]) for i in range(k, min(k + 256, n))]) for k in range(0, n, 256))])
+            ids = batch.column(at_id)
+            old = [batch.column(i) for i, c in enumerate(batch.schema.names) if c in kept]
+            yield pa.RecordBatch.from_arrays([*old, pa.array(held_out_of(ids.to_pylist())), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*kept, *added])
+
+    return docs.mapInArrow(run, schema)

@@ -9,18 +9,35 @@ from pyspark.sql import functions as F
 
 from fieldlark.session import checkpoint_dir, ship_package
 
+from . import url_filters
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     checkpoint_dir(ship_package(spark))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints_and_edits
+
+    return fingerprints_and_edits(_read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_read(spark, sf_dir, "documents"), window=2048).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in list against all pages, each fetched on a day given by its id."""
+    from .url_filters import capture_day, filter_urls, list_entries
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    judged = filter_urls(pages.withColumn("fetched_on", capture_day(F.col("page_id"))), list_entries(spark))
+    return judged.select("page_id", "url", F.col("fetched_on").cast("string").alias("fetched_on"), "host", "decision", "category", "rule")
+
+
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .span_dedup import remove_repeats
 
@@ -72,7 +89,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op3_url_filters": op3_url_filters,
     "op4_span_dedup": op4_span_dedup,
     "op6_decontamination": op6_decontamination,
     "op5_quality": op5_quality,
@@ -82,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filters": url_filters.oracle()}

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import Block, blocks, mix
 
@@ -126,15 +127,18 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_sentences: in
     return runs.join(firsts, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("h1").alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 10) -> DataFrame:
-    """(id, text, n_sentences, n_removed, removed): text without repeated runs.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 10, keep_columns: bool = False) -> DataFrame:
+    """(id, text, n_sentences, n_removed, removed): text without repeated runs; keep_columns: and the other columns of docs.
 
     removed: the (start, stop) UTF-8 byte spans taken out of the old text, in order.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    added = ("n_sentences", "n_removed", "removed")
+    extra = [c for c in docs.columns if c not in (id_col, text_col) and c.lower() not in added] if keep_columns else []
+    named = [f"extra_{i}" for i in range(len(extra))]
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in zip(extra, named)))
+    schema = T.StructType([*(T.StructField(n, docs.schema[n].dataType) for n in ("id", "text", *named)), *T._parse_datatype_string("n_sentences long, n_removed long, removed array<struct<start:long,stop:long>>").fields])
     found = repeated_runs(docs, "id", "text", min_sentences, min_words).withColumnRenamed("id", "found_id")
-    both = docs.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left").select("id", "text", "runs")
+    both = docs.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left").select("id", "text", "runs", *named)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     keep = np.concatenate(([block.text_at[i]], cuts.ravel(), [block.text_at[i + 1]])).reshape(-1, 2)
                     texts.append(b"".join(block.data[a:b].tobytes() for a, b in keep).rstrip(b" \t\n\r\x0b\x0c"))
                     removed.append([{"start": int(a), "stop": int(b)} for a, b in cuts - block.text_at[i]])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(per.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(removed, spans)], names=["id", "text", "n_sentences", "n_removed", "removed"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *(rows.column(3 + i) for i in range(len(named))), pa.array(per.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(removed, spans)], names=["id", "text", *named, "n_sentences", "n_removed", "removed"])
 
-    out = both.mapInArrow(cut, f"id {kind}, text string, n_sentences long, n_removed long, removed array<struct<start:long,stop:long>>")
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+    out = both.mapInArrow(cut, schema)
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(F.col(n).alias(c) for c, n in zip(extra, named)), *added)
