@@ -10,10 +10,11 @@ SMALL / 0.8 have a hash function per bucket. Sets in between have both kinds,
 so any two that can reach the threshold share a kind.
 
 Bands of registers are hashed; a pair of linked sets (0.8) shares none of the
-40 bands of 5 with odds of 1e-7. No bucket's pairs are all made: every class is
-held against one class of each bucket it is in, the ``HUBS`` best by estimate are
-tested, and the links found make components. What may still be linked are
-classes of different components in one bucket. Those classes order their
+40 bands of 5 with odds of 1e-7. No bucket's pairs are all made: in each of
+``ROUNDS`` rounds a bucket has one hub, every class is tested against the
+``HUBS`` hubs of other components it shares most buckets with, and the links
+found make components. What may still be linked then are classes of different
+components in one bucket. Those classes order their
 members by rarity and meet only over members of their rarest fifth that leave
 enough others behind, as sets that reach the threshold must (prefix and
 positional filter), so variants of one text with many edits of their own do not
@@ -41,7 +42,7 @@ from .components import components
 
 BANDS, ROWS, MANTISSA, SMALL = 40, 5, 10, 250
 BUCKETS = BANDS * ROWS
-HUBS = 3
+HUBS, ROUNDS = 2, 1
 RARITY_BITS = 18  # members are counted in 2**18 cells, the most the driver holds
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,8 +141,25 @@ def _band_keys() -> Column:
     return F.concat(of("small"), of("large"))
 
 
+def _hub_pairs(shared: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), a < b: each node with the HUBS foreign hubs that it shares most buckets with.
+
+    A bucket's hub is its most central node (the one with most mates over all
+    buckets), after the first turn among some half of the nodes that the turn
+    fixes; the original of many edited copies is most central, and like nodes
+    meet the same hubs. shared: (key, node, central, component).
+    """
+    half = F.lit(0) if turn == 0 else F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(2))
+    order = F.struct(half.alias("h"), (-F.col("central")).alias("c"), F.xxhash64("node").alias("x"))
+    hubs = shared.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"))
+    met = shared.join(hubs, "key").where("component <> hub_component").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = Window.partitionBy("node").orderBy(F.col("times").desc(), F.xxhash64(F.lit(turn), "hub"))
+    top = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+    return top.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b, likeness) whose registers allow the threshold."""
+    """Pairs (a, b) whose registers allow the threshold."""
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "small", "large"))), side)
 
@@ -161,9 +179,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFram
             margin = 5 * np.sqrt(0.16 * (1 / BUCKETS + 1 / np.maximum(n_a, n_b)))
             like = estimate(same, n_a, n_b)
             keep = done & (like >= threshold / 100 - margin)
-            yield pa.RecordBatch.from_arrays([col["a"], col["b"], pa.array(like)], names=["a", "b", "likeness"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([col["a"], col["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, "a long, b long, likeness double")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _members(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -192,9 +210,9 @@ def _meeting(nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
-    found = members.select("members").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = members.select("members").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(cells, np.int64)
-    often[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    often[found["cell"].to_numpy()] = found["n"].to_numpy()
     shared = members.sparkSession.sparkContext.broadcast(often)  # 2 MB
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,21 +268,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = classes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
 
     bands = classes.select("node", F.explode(_band_keys()).alias("key"))
-    hubs = bands.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    shared = bands.join(hubs, "key").select("key", "node", "hub").checkpoint()
-    met = shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    order = Window.partitionBy("b").orderBy(F.col("likeness").desc(), "a")
-    best = _estimated(met, classes, threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS)
-    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    links = _confirmed(first, _members(ends, classes, docs, shingle).checkpoint(), threshold).checkpoint()
-
-    grouped = shared.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")).checkpoint()
+    shared = bands.join(bands.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"), "key").select("key", "node", "mates").checkpoint()
+    central = shared.groupBy("node").agg(F.sum("mates").alias("central"))
+    shared = shared.select("key", "node").join(central, "node").checkpoint()
+    links = tested = shared.sparkSession.createDataFrame([], "a long, b long")
+    labels = shared.select("node").distinct().withColumn("component", F.col("node"))
+    for turn in range(ROUNDS):
+        grouped = shared.join(labels, "node").checkpoint()
+        mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        shared = grouped.join(mixed, "key").select("key", "node", "central", "component").checkpoint()  # buckets of one component are done with
+        pairs = _hub_pairs(shared, turn).join(tested, ["a", "b"], "left_anti").checkpoint()
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        likely = _estimated(pairs, classes, threshold).checkpoint()
+        links = links.union(_confirmed(likely, _members(ends, classes, docs, shingle), threshold)).checkpoint()
+        tested = tested.union(pairs)
+        found = components(links)
+        shared = shared.drop("component")
+        labels = shared.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+    grouped = shared.join(labels, "node").checkpoint()
     mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     open_nodes = grouped.join(mixed, "key").select("node", "component").distinct().checkpoint()
     members = _members(open_nodes, classes, docs, shingle).checkpoint()
-    cross = _meeting(open_nodes, members, threshold).join(first, ["a", "b"], "left_anti")
-    more = _confirmed(_estimated(cross, classes, threshold).select("a", "b").checkpoint(), members, threshold)
+    cross = _meeting(open_nodes, members, threshold).join(tested, ["a", "b"], "left_anti")
+    more = _confirmed(_estimated(cross, classes, threshold).checkpoint(), members, threshold)
     links = links.union(more).checkpoint()
 
     named = classes.join(components(links), "node", "left").select("h1", "h2", "first_id", F.coalesce("component", "node").alias("component"))
