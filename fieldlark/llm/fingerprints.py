@@ -45,7 +45,7 @@ def _regex_set(points: list[int]) -> str:
 @functools.cache
 def unicode_rules() -> dict[str, str]:
     """Regex sets and map texts for NFKC, from the rules of unicodedata."""
-    every = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    every = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
     changed, joins, split, order, pairs = [], [], {}, {}, {}
     seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
     for c in every:
@@ -74,7 +74,8 @@ def unicode_rules() -> dict[str, str]:
     odd = set(changed) | set(joins)
     plain = [c for c in every if c not in odd and (c < 0x250 or 0x2010 <= c <= 0x2022 or 0x370 <= c < 0x530 or 0x3041 <= c < 0x3100 or 0x4E00 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4)]
     text = lambda m: "\x02".join(f"{a}\x01{b}" for a, b in m.items())
-    return {"plain": _regex_set(plain), "changed": _regex_set(changed), "joins": _regex_set(joins), "split": text(split), "order": text(order), "pairs": text(pairs)}
+    latin = "".join(f"\\x{{{c:x}}}" for c in plain if c < 256)  # one by one: a bit set to the regex engine
+    return {"latin": latin, "plain": _regex_set(plain), "changed": _regex_set(changed), "joins": _regex_set(joins), "split": text(split), "order": text(order), "pairs": text(pairs)}
 
 
 def _look_up(table: str, key: Column) -> Column:
@@ -115,7 +116,8 @@ def nfkc(text: Column) -> Column:
     odd = f"[{r['joins']}{r['changed']}]"
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).[{r['joins']}]+|[{r['changed']}]|(?:(?!.[{r['joins']}])[^{r['changed']}])+|."), F.lit(0))
     slow = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(odd), _nfkc_segment(p)).otherwise(p)), "")
-    return F.when(text.rlike(f"[^{r['plain']}]") & text.rlike(odd), slow).otherwise(text)
+    ascii_only = F.char_length(text) == F.octet_length(text)
+    return F.when(ascii_only, text).when(text.rlike(f"[^{r['latin']}]") & text.rlike(f"[^{r['plain']}]") & text.rlike(odd), slow).otherwise(text)
 
 
 _WHITE = "\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}"
