@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,3 +40,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint, after which shuffle files of finished steps go.
+
+    Spark drops them once the driver has collected the plans that made them,
+    which may take as long as a loop of many small steps does.
+    """
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
