@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.session import settled
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); component: the least node of it.
@@ -20,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         spread = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         to = spread.select(F.col("node").alias("mid"), F.col("mid").alias("next"))
-        labels = spread.join(to, "mid", "left").select("node", F.least("mid", "next").alias("component"), "old").checkpoint()
+        labels = settled(spread.join(to, "mid", "left").select("node", F.least("mid", "next").alias("component"), "old"))
         if labels.where("component <> old").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")

@@ -10,11 +10,10 @@ SMALL / 0.8 have a hash function per bucket. Sets in between have both kinds,
 so any two that can reach the threshold share a kind.
 
 Bands of registers are hashed; a pair of linked sets (0.8) shares none of the
-40 bands of 5 with odds of 1e-7. No bucket's pairs are all made: in each of
-``ROUNDS`` rounds a bucket has one hub, every class is tested against the
-``HUBS`` hubs of other components it shares most buckets with, and the links
-found make components. What may still be linked then are classes of different
-components in one bucket. Those classes order their
+40 bands of 5 with odds of 1e-7. No bucket's pairs are all made: a bucket has
+one hub, every class is tested against the ``HUBS`` hubs it shares most buckets
+with, and the links found make components. What may still be linked then are
+classes of different components in one bucket. Those classes order their
 members by rarity and meet only over members of their rarest fifth that leave
 enough others behind, as sets that reach the threshold must (prefix and
 positional filter), so variants of one text with many edits of their own do not
@@ -37,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldlark.session import settled
+
 from .blocks import Block, blocks, mix
 from .components import components
 
 BANDS, ROWS, MANTISSA, SMALL = 40, 5, 10, 250
 BUCKETS = BANDS * ROWS
-HUBS, ROUNDS = 2, 1
+HUBS = 2
 RARITY_BITS = 18  # members are counted in 2**18 cells, the most the driver holds
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,19 +142,15 @@ def _band_keys() -> Column:
     return F.concat(of("small"), of("large"))
 
 
-def _hub_pairs(shared: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b), a < b: each node with the HUBS foreign hubs that it shares most buckets with.
+def _hub_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: each node with the HUBS hubs that it shares most buckets with. shared: (key, node, central).
 
     A bucket's hub is its most central node (the one with most mates over all
-    buckets), after the first turn among some half of the nodes that the turn
-    fixes; the original of many edited copies is most central, and like nodes
-    meet the same hubs. shared: (key, node, central, component).
+    its buckets): the original of many edited copies is most central.
     """
-    half = F.lit(0) if turn == 0 else F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(2))
-    order = F.struct(half.alias("h"), (-F.col("central")).alias("c"), F.xxhash64("node").alias("x"))
-    hubs = shared.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component"))
-    met = shared.join(hubs, "key").where("component <> hub_component").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
-    best = Window.partitionBy("node").orderBy(F.col("times").desc(), F.xxhash64(F.lit(turn), "hub"))
+    hubs = shared.groupBy("key").agg(F.min_by("node", F.struct((-F.col("central")).alias("c"), F.xxhash64("node").alias("x"))).alias("hub"))
+    met = shared.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = Window.partitionBy("node").orderBy(F.col("times").desc(), F.xxhash64("hub"))
     top = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
     return top.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
@@ -231,7 +228,7 @@ def _meeting(nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
 
     rare = nodes.join(members, "node").select("node", "component", "members").mapInArrow(rarest, "node long, component long, n long, member long, place long").checkpoint()
     mixed = rare.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("member")
-    left = rare.join(mixed, "member").checkpoint()
+    left = settled(rare.join(mixed, "member"))
     right = left.select("member", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("other"))
     # the first member that linked sets share leaves enough others behind it in both
     near_size = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) * (100 + threshold) >= (F.col("n") + F.col("n_b")) * threshold
@@ -263,36 +260,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = docs.mapInArrow(_signatures(shingle, threshold, "id"), f"id {kind}, n_shingles long, h1 long, h2 long, small binary, large binary").checkpoint()
+    rows = settled(docs.mapInArrow(_signatures(shingle, threshold, "id"), f"id {kind}, n_shingles long, h1 long, h2 long, small binary, large binary"))
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"))
-    classes = classes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    classes = settled(classes.withColumn("node", F.monotonically_increasing_id()))
 
     bands = classes.select("node", F.explode(_band_keys()).alias("key"))
-    shared = bands.join(bands.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"), "key").select("key", "node", "mates").checkpoint()
+    shared = settled(bands.join(bands.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"), "key").select("key", "node", "mates"))
     central = shared.groupBy("node").agg(F.sum("mates").alias("central"))
-    shared = shared.select("key", "node").join(central, "node").checkpoint()
-    links = tested = shared.sparkSession.createDataFrame([], "a long, b long")
-    labels = shared.select("node").distinct().withColumn("component", F.col("node"))
-    for turn in range(ROUNDS):
-        grouped = shared.join(labels, "node").checkpoint()
-        mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        shared = grouped.join(mixed, "key").select("key", "node", "central", "component").checkpoint()  # buckets of one component are done with
-        pairs = _hub_pairs(shared, turn).join(tested, ["a", "b"], "left_anti").checkpoint()
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        likely = _estimated(pairs, classes, threshold).checkpoint()
-        links = links.union(_confirmed(likely, _members(ends, classes, docs, shingle), threshold)).checkpoint()
-        tested = tested.union(pairs)
-        found = components(links)
-        shared = shared.drop("component")
-        labels = shared.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-    grouped = shared.join(labels, "node").checkpoint()
+    shared = settled(shared.select("key", "node").join(central, "node"))
+    pairs = settled(_hub_pairs(shared))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    likely = settled(_estimated(pairs, classes, threshold))
+    links = settled(_confirmed(likely, _members(ends, classes, docs, shingle), threshold))
+
+    # classes of different components in one bucket
+    grouped = settled(shared.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_nodes = grouped.join(mixed, "key").select("node", "component").distinct().checkpoint()
-    members = _members(open_nodes, classes, docs, shingle).checkpoint()
-    cross = _meeting(open_nodes, members, threshold).join(tested, ["a", "b"], "left_anti")
-    more = _confirmed(_estimated(cross, classes, threshold).checkpoint(), members, threshold)
-    links = links.union(more).checkpoint()
+    open_nodes = settled(grouped.join(mixed, "key").select("node", "component").distinct())
+    members = settled(_members(open_nodes, classes, docs, shingle))
+    cross = _meeting(open_nodes, members, threshold).join(pairs, ["a", "b"], "left_anti")
+    more = _confirmed(settled(_estimated(cross, classes, threshold)), members, threshold)
+    links = settled(links.union(more))
 
     named = classes.join(components(links), "node", "left").select("h1", "h2", "first_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
