@@ -418,3 +418,65 @@ def money_report(t: Tables) -> DataFrame:
     from fieldlark.functions.text import format_fixed
 
     return t.customer.groupBy("c_nationkey").agg(format_fixed(F.sum(cents("c_acctbal")).cast("double") / 100, 2).alias("cell"))
+
+
+# --- event windows -----------------------------------------------------------------------------------------
+
+
+@query("tumbling_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS stop, event_type, count(*) AS n, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS total, max(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS top FROM events GROUP BY ALL")
+def tumbling_windows(t: Tables) -> DataFrame:
+    from fieldlark.streaming.events import windowed
+
+    return windowed(t.events.select("ts", "event_type", cents("value").alias("v")), "ts", "event_type", "v", size="1 day")
+
+
+@query(
+    "sliding_windows",
+    """WITH e AS (SELECT event_type, ts, CAST(floor(value * 100 + 0.5) AS BIGINT) AS v, unnest([0, 1]) AS k FROM events), w AS (SELECT event_type, v, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start FROM e)
+SELECT start, start + INTERVAL 12 HOUR AS stop, event_type, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, max(v) AS top FROM w GROUP BY ALL""",
+)
+def sliding_windows(t: Tables) -> DataFrame:
+    from fieldlark.streaming.events import windowed
+
+    return windowed(t.events.select("ts", "event_type", cents("value").alias("v")), "ts", "event_type", "v", size="12 hours", slide="6 hours")
+
+
+@query("best_tour")
+def best_tour(t: Tables) -> DataFrame:
+    """Closed tours over the suppliers of each nation group, exact or improved by a fixed number of sweeps."""
+    import numpy as np
+
+    p = t.supplier.select((F.col("s_nationkey") % 5).alias("block"), "s_suppkey", (F.col("s_suppkey") % 97).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"))
+
+    def run(g):
+        import pandas as pd
+
+        g = g.sort_values("s_suppkey")
+        xy = g[["x", "y"]].to_numpy()
+        d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+        tour = G.improve_tour(d, G.nearest_neighbour_tour(d), 5)
+        return pd.DataFrame({"block": g["block"].iloc[0], "seq": np.arange(len(tour)), "s_suppkey": g["s_suppkey"].to_numpy()[tour]})
+
+    return p.groupBy("block").applyInPandas(run, "block long, seq long, s_suppkey long")
+
+
+@query("tile_raster_masks")
+def tile_raster_masks(t: Tables) -> DataFrame:
+    """Component counts and areas of a synthetic mask tile per size class of parts."""
+    import numpy as np
+
+    from fieldlark.operators import geometry as Y
+    from fieldlark.operators import raster as R
+
+    p = t.part.select((F.col("p_partkey") % 16).alias("tile"), (F.col("p_partkey") % 61).alias("u"), F.col("p_size").alias("v"))
+
+    def run(g):
+        import pandas as pd
+
+        mask = np.zeros((64, 64), bool)
+        mask[g["v"].to_numpy(), g["u"].to_numpy()] = True
+        labels, n = R.label_components(mask)
+        rings = R.outline_rings(mask)
+        return pd.DataFrame({"tile": [g["tile"].iloc[0]], "components": [n], "pixels": [int(mask.sum())], "ring_area": [abs(sum(Y.ring_area(r) for r in rings))]})
+
+    return p.groupBy("tile").applyInPandas(run, "tile long, components long, pixels long, ring_area double")
