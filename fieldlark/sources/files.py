@@ -92,7 +92,11 @@ def read_annotations(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     kinds = ("polyline", "polygon", "box", "mask")
     schema = "_name string, _width int, _height int, " + ", ".join(f"{k} array<{_SHAPE}>" for k in kinds)
     images = spark.read.format("xml").option("rowTag", "image").schema(schema).load(list(paths)).withColumn("file", F.col("_metadata.file_name"))
-    each = F.concat(*(F.transform(F.coalesce(F.col(k), F.array().cast(f"array<{_SHAPE}>")), lambda s, k=k: F.struct(F.lit(k).alias("shape"), s.alias("s"))) for k in kinds))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(F.coalesce(F.col(kind), F.array().cast(f"array<{_SHAPE}>")), lambda s: F.struct(F.lit(kind).alias("shape"), s.alias("s")))
+
+    each = F.concat(*map(tagged, kinds))
     number = F.transform(F.split("x.s._points", "[;,]"), lambda v: v.try_cast("double"))
     attributes = F.map_from_entries(F.transform(F.coalesce("x.s.attribute", F.array().cast("array<struct<_VALUE:string,_name:string>>")), lambda a: F.struct(F.trim(a["_name"]), F.trim(a["_VALUE"]))))
     return images.select("file", F.col("_name").alias("image"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.explode(each).alias("x")).select(
