@@ -13,8 +13,14 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Give the package to Python workers on all machines, once per application."""
+    """Give the package to Python workers on all machines, once per application.
+
+    Arrow batches get 1,000 rows unless the session says otherwise: rows are
+    whole texts here, and a batch is held on both sides of the pipe.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId not in _shipped:
         top = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(), "fieldlark_package.zip")
