@@ -60,8 +60,6 @@ class Pieces:
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """keys: sorted, not yet known."""
-        if len(self.keys) + len(keys) > MEMO_WORDS:
-            self.clear()
         lengths, ids = self.encode(words)
         slots = len(self.at) - 1 + np.arange(len(keys))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(lengths)))
@@ -69,6 +67,12 @@ class Pieces:
         where = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, where, keys), np.insert(self.slots, where, slots)
 
+    def unknown(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(keys), bool)
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[k] != keys
+
     def look_up(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
         """(distinct hashes' slots, each word's distinct number, (unused), special words with their ids)."""
         data = block.data
@@ -79,19 +83,14 @@ class Pieces:
             hashes = hashes.copy()
             hashes[odd] = 0  # a word of its own kind, set apart below
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        k = np.searchsorted(self.keys, distinct)
-        new = (k == len(self.keys)) | (self.keys[np.minimum(k, len(self.keys) - 1)] != distinct) if len(self.keys) else np.ones(len(distinct), bool)
+        new = self.unknown(distinct)
+        if new.any() and len(self.keys) + int(new.sum()) > MEMO_WORDS:
+            self.clear()
+            new = np.ones(len(distinct), bool)
         if new.any():
             mem, s, e = data.tobytes(), block.starts[first[new]].tolist(), block.ends[first[new]].tolist()
-            words = [b"" if h == 0 else mem[a:b] for h, a, b in zip(distinct[new].tolist(), s, e)]
-            before = len(self.keys)
-            self.learn(distinct[new], words)
-            if len(self.keys) < before + len(words):  # the memo was emptied: the others anew
-                rest = distinct[~new]
-                if len(rest):
-                    s, e = block.starts[first[~new]].tolist(), block.ends[first[~new]].tolist()
-                    self.learn(rest, [b"" if h == 0 else mem[a:b] for h, a, b in zip(rest.tolist(), s, e)])
-            k = np.searchsorted(self.keys, distinct)
+            self.learn(distinct[new], [b"" if h == 0 else mem[a:b] for h, a, b in zip(distinct[new].tolist(), s, e)])
+        k = np.searchsorted(self.keys, distinct)
         special = []
         for w in odd.tolist():
             ids = self.tokenizer.encode(block.word(w).decode("utf-8", "replace"), add_special_tokens=False).ids
