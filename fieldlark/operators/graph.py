@@ -175,27 +175,34 @@ def nearest_neighbour_tour(d: np.ndarray) -> list[int]:
 
 
 def improve_tour(d: np.ndarray, tour: list[int], sweeps: int = 20) -> list[int]:
-    """2-opt and moves of up to three stops, a fixed number of sweeps (no clock), node 0 first."""
-    tour, n = list(tour), len(tour)
+    """2-opt and moves of up to three stops by best change of length, a fixed number of sweeps (no clock), node 0 first; symmetric distances."""
+    t, n = np.array(tour), len(tour)
     for _ in range(sweeps):
         better = False
-        for i, j in itertools.combinations(range(1, n), 2):
-            a, b, c, e = tour[i - 1], tour[i], tour[j], tour[(j + 1) % n]
-            if d[a, c] + d[b, e] < d[a, b] + d[c, e] - 1e-12:
-                tour[i : j + 1] = tour[i : j + 1][::-1]
+        for i in range(1, n - 1):
+            j = np.arange(i + 1, n)
+            a, b, c, e = t[i - 1], t[i], t[j], t[(j + 1) % n]
+            change = d[a, c] + d[b, e] - d[a, b] - d[c, e]
+            k = int(change.argmin())
+            if change[k] < -1e-12:
+                t[i : j[k] + 1] = t[i : j[k] + 1][::-1].copy()
                 better = True
         for size in (1, 2, 3):
             for i in range(1, n - size + 1):
-                part, rest = tour[i : i + size], tour[:i] + tour[i + size :]
-                now = tour_length(d, tour)
-                for k in range(1, len(rest) + 1):
-                    new = rest[:k] + part + rest[k:]
-                    if tour_length(d, new) < now - 1e-12:
-                        tour, better = new, True
-                        break
+                part, rest = t[i : i + size], np.concatenate((t[:i], t[i + size :]))
+                if len(rest) < 2:
+                    continue
+                p, q = t[i - 1], t[(i + size) % n]
+                gain = d[p, part[0]] + d[part[-1], q] - d[p, q]
+                u, v = rest, np.roll(rest, -1)
+                cost = d[u, part[0]] + d[part[-1], v] - d[u, v]
+                k = int(cost.argmin())
+                if cost[k] < gain - 1e-12:
+                    t = np.concatenate((rest[: k + 1], part, rest[k + 1 :]))
+                    better = True
         if not better:
             break
-    return tour
+    return t.tolist()
 
 
 def exact_group_tour(d: np.ndarray, groups: Sequence[Sequence[int]]) -> tuple[float, list[int]]:

@@ -88,20 +88,44 @@ def assign(cost: np.ndarray) -> np.ndarray:
 
 
 def optimal_pairs(left: np.ndarray, right: np.ndarray, score: np.ndarray, least: float) -> np.ndarray:
-    """Indices of pairs of a matching with most pairs, then most score."""
+    """Indices of pairs of a matching with most pairs, then most score.
+
+    Connected parts of the candidate pairs are independent and solved apart.
+    """
     ok = np.flatnonzero(score >= least)
     if not len(ok):
         return ok
     ls, li = np.unique(left[ok], return_inverse=True)
     rs, ri = np.unique(right[ok], return_inverse=True)
-    big = float(score[ok].max() - min(0.0, score[ok].min()) + 1) * (min(len(ls), len(rs)) + 1)
-    n = max(len(ls), len(rs))
+    parent = list(range(len(ls) + len(rs)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in zip(li.tolist(), ri.tolist()):
+        x, y = root(a), root(len(ls) + b)
+        parent[max(x, y)] = min(x, y)
+    part = np.array([root(a) for a in li.tolist()])
+    out = []
+    for p in np.unique(part).tolist():
+        k = np.flatnonzero(part == p)
+        out += _assigned(ok[k], li[k], ri[k], score)
+    return np.array(sorted(out), np.int64)
+
+
+def _assigned(pairs: np.ndarray, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> list[int]:
+    _, a = np.unique(left, return_inverse=True)
+    _, b = np.unique(right, return_inverse=True)
+    n = max(a.max(), b.max()) + 1
+    big = float(score[pairs].max() - min(0.0, score[pairs].min()) + 1) * (n + 1)
     gain, which = np.zeros((n, n)), np.full((n, n), -1, np.int64)
-    for k, a, b in zip(ok.tolist(), li.tolist(), ri.tolist()):
-        if which[a, b] < 0 or score[k] + big > gain[a, b]:
-            gain[a, b], which[a, b] = score[k] + big, k
-    cols = assign(-gain)
-    return np.array(sorted(which[a, b] for a, b in enumerate(cols.tolist()) if which[a, b] >= 0), np.int64)
+    for k, i, j in zip(pairs.tolist(), a.tolist(), b.tolist()):
+        if which[i, j] < 0 or score[k] + big > gain[i, j]:
+            gain[i, j], which[i, j] = score[k] + big, k
+    return [int(which[i, j]) for i, j in enumerate(assign(-gain).tolist()) if which[i, j] >= 0]
 
 
 def keep_apart(x: np.ndarray, y: np.ndarray, limit: float, exempt: np.ndarray | None = None) -> np.ndarray:
