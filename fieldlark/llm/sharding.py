@@ -61,7 +61,7 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def shard_rows(docs: DataFrame, *, shards: int = 8, seed: int = 20240229, part_rows: int = 20_000) -> DataFrame:
+def shard_rows(docs: DataFrame, *, shards: int = 8, seed: int = 20240229, part_rows: int = 5_000) -> DataFrame:
     """The rows of ``docs`` with ``shard`` int and ``slot`` long (gapless from 0 in its shard).
 
     All columns of ``docs`` are kept; columns named shard or slot are replaced.
