@@ -61,6 +61,12 @@ def format_block_id(index: Column, n_blocks: Column) -> Column:
     return F.concat(F.lit("V"), F.lpad(index.cast("string"), F.when(n_blocks > 99, 3).otherwise(2), F.lit("0")))
 
 
+def padded(number: Column, width: int) -> Column:
+    """Digits with leading zeros to a width; longer numbers stay whole."""
+    n = number.cast("string")
+    return F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)
+
+
 def merge_flags(*groups: Column) -> Column:
     """';' lists joined, each flag once, in order of first sight."""
     lists = [F.filter(F.transform(F.split(F.coalesce(g, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "") for g in groups]

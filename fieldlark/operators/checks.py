@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlark.functions.text import normalize_enum
+from fieldlark.functions.text import normalize_enum, padded
 
 #: Severities from worst.
 SEVERITIES = ("error", "warning", "info")
@@ -80,7 +80,7 @@ def all_issues(*found: DataFrame) -> DataFrame:
     sizes = out.groupBy(rank.alias("r_"), "code").agg(F.count(F.lit(1)).alias("n_")).select("r_", "code", (F.sum("n_").over(Window.orderBy("r_", "code")) - F.col("n_")).alias("before_"))
     own = Window.partitionBy("r_", "code").orderBy("object_id", "detail")
     numbered = out.withColumn("r_", rank).withColumn("own_", F.row_number().over(own)).join(F.broadcast(sizes), ["r_", "code"])
-    return numbered.select(F.concat(F.lit("Q"), F.lpad((F.col("own_") + F.col("before_")).cast("string"), 5, "0")).alias("issue_id"), "severity", "code", "object_id", "detail")
+    return numbered.select(F.concat(F.lit("Q"), padded(F.col("own_") + F.col("before_"), 5)).alias("issue_id"), "severity", "code", "object_id", "detail")
 
 
 def summarize_issues(issues: DataFrame, tile: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldlark.functions.text import padded
+
 
 def ordered_neighbours(rows: DataFrame, block: str, position: str, row: str, *, grain: float = 1e-3) -> DataFrame:
     """Rank in the block by falling position (in steps of ``grain``), then id; spacing to both neighbours."""
@@ -173,7 +175,7 @@ def cluster_sorted(df: DataFrame, keys: Sequence[str], value: str, unique: str,
 def numbered_by_kind(df: DataFrame, kind: str, order: Sequence[str | Column], prefix: Column, width: int = 4) -> DataFrame:
     """Ids with a running number per kind."""
     w = Window.partitionBy(kind).orderBy(*order)
-    return df.withColumn("number", F.row_number().over(w)).withColumn("object_id", F.concat(prefix, F.lpad(F.col("number").cast("string"), width, "0")))
+    return df.withColumn("number", F.row_number().over(w)).withColumn("object_id", F.concat(prefix, padded(F.col("number"), width)))
 
 
 def inside_runs(legs: DataFrame, route: str, seq: str, outside: str) -> DataFrame:

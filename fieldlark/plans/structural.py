@@ -26,7 +26,7 @@ UNION ALL SELECT 1, 'error', 'enum_bad', CAST(doc_id AS VARCHAR), lang FROM docu
 UNION ALL SELECT 2, 'warning', 'whitespace', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_name <> trim(p_name)
 UNION ALL SELECT 1, 'error', 'missing', CAST(doc_id AS VARCHAR), NULL FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 1, 'error', 'out_of_range', CAST(doc_id AS VARCHAR), CAST(n_chars AS VARCHAR) FROM documents WHERE n_chars > 10000)
-SELECT 'Q' || CASE WHEN length(CAST(row_number() OVER w AS VARCHAR)) >= 5 THEN CAST(row_number() OVER w AS VARCHAR)[1:5] ELSE lpad(CAST(row_number() OVER w AS VARCHAR), 5, '0') END AS issue_id, severity, code, object_id, detail FROM i WINDOW w AS (ORDER BY r, code, object_id, detail NULLS FIRST)""",
+SELECT 'Q' || CASE WHEN length(CAST(row_number() OVER w AS VARCHAR)) >= 5 THEN CAST(row_number() OVER w AS VARCHAR) ELSE lpad(CAST(row_number() OVER w AS VARCHAR), 5, '0') END AS issue_id, severity, code, object_id, detail FROM i WINDOW w AS (ORDER BY r, code, object_id, detail NULLS FIRST)""",
 )
 def issue_checks_union(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", "lang", "n_chars")
@@ -480,3 +480,58 @@ def tile_raster_masks(t: Tables) -> DataFrame:
         return pd.DataFrame({"tile": [g["tile"].iloc[0]], "components": [n], "pixels": [int(mask.sum())], "ring_area": [abs(sum(Y.ring_area(r) for r in rings))]})
 
     return p.groupBy("tile").applyInPandas(run, "tile long, components long, pixels long, ring_area double")
+
+
+# --- survey compositions -----------------------------------------------------------------------------------
+
+_LINE = "SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS pos FROM events"
+
+
+@query(
+    "occupancy_profile",
+    f"""WITH p AS ({_LINE}), r AS (SELECT user_id, max(pos) + 1 AS length FROM p GROUP BY 1), b AS (SELECT user_id, unnest(range(CAST(ceil(length / 21600.0) AS BIGINT))) AS bin FROM r)
+SELECT b.user_id, b.bin, count(p.pos) AS n FROM b LEFT JOIN p ON p.user_id = b.user_id AND p.pos // 21600 = b.bin GROUP BY 1, 2""",
+)
+def occupancy_profile(t: Tables) -> DataFrame:
+    from fieldlark.operators import survey as V
+
+    p = t.events.select("user_id", (F.unix_timestamp("ts") - 1704067200).alias("at"))
+    return V.occupancy_profile(p, p.groupBy("user_id").agg((F.max("at") + 1).alias("length")), "user_id", "at", "length", bin_m=21_600)
+
+
+@query(
+    "profile_gap_kinds",
+    f"""WITH p AS ({_LINE}), r AS (SELECT user_id, max(pos) + 1 AS length FROM p GROUP BY 1), b AS (SELECT user_id, unnest(range(CAST(ceil(length / 21600.0) AS BIGINT))) AS bin FROM r),
+o AS (SELECT b.user_id, b.bin, count(p.pos) = 0 AS e FROM b LEFT JOIN p ON p.user_id = b.user_id AND p.pos // 21600 = b.bin GROUP BY 1, 2),
+i AS (SELECT *, bin - row_number() OVER (PARTITION BY user_id, e ORDER BY bin) AS island, max(bin) OVER (PARTITION BY user_id) AS last FROM o),
+g AS (SELECT user_id, min(bin) AS a, max(bin) + 1 AS b, any_value(last) + 1 AS n FROM i WHERE e GROUP BY user_id, island)
+SELECT user_id, a * 21600 AS gap_start, b * 21600 AS gap_stop, (b - a) * 21600 AS gap, CASE WHEN a <= 0 AND b >= n THEN 'full' WHEN a <= 0 THEN 'head' WHEN b >= n THEN 'tail' ELSE 'interior' END AS kind FROM g WHERE (b - a) * 21600 >= 43200""",
+)
+def profile_gap_kinds(t: Tables) -> DataFrame:
+    from fieldlark.operators import survey as V
+
+    return V.profile_gaps(occupancy_profile(t), "user_id", bin_m=21_600, least=43_200)
+
+
+@query(
+    "farms_of_blocks",
+    f"""WITH RECURSIVE b AS (SELECT 'V' || k AS block, k, x0 * 4 AS x0, y0 * 4 AS y0, x1 * 4 - 3 AS x1, y1 * 4 - 7 AS y1 FROM ({_BOX}) WHERE k % 3 = 0),
+l AS (SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.k <> q.k AND pow(greatest(0, greatest(p.x0, q.x0) - least(p.x1, q.x1)), 2) + pow(greatest(0, greatest(p.y0, q.y0) - least(p.y1, q.y1)), 2) <= 4),
+r(node, reach) AS (SELECT k, k FROM b UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach), c AS (SELECT node, min(reach) AS farm FROM r GROUP BY node)
+SELECT CASE WHEN row_number() OVER (ORDER BY farm) < 10 THEN 'F0' ELSE 'F' END || row_number() OVER (ORDER BY farm) AS farm_id, string_agg(b.block, ',' ORDER BY b.k) AS blocks, count(*) AS n_blocks, CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) AS area FROM c JOIN b ON b.k = c.node GROUP BY farm""",
+)
+def farms_of_blocks(t: Tables) -> DataFrame:
+    from fieldlark.operators import survey as V
+
+    k = F.col("k")
+    b = _boxes(t).where("k % 3 = 0").select(F.concat(F.lit("V"), k).alias("block"), (F.col("x0") * 4).alias("x0"), (F.col("y0") * 4).alias("y0"), (F.col("x1") * 4 - 3).alias("x1"), (F.col("y1") * 4 - 7).alias("y1")).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    links = V.block_links(b, "block", gap_m=2.0, always_m=0.5, cell=16)
+    return V.farms(b, links, "block", "area")
+
+
+@query("cut_overlaps", f"WITH b AS ({_BOX}), p AS (SELECT l.k AS a, r.k AS b FROM b l JOIN b r ON l.k < r.k AND l.x0 < r.x1 AND r.x0 < l.x1 AND l.y0 < r.y1 AND r.y0 < l.y1), s AS (SELECT l_partkey AS k, CAST(count(*) AS DOUBLE) AS s FROM lineitem GROUP BY 1), j AS (SELECT p.a, p.b, coalesce(x.s, 0) AS sa, coalesce(y.s, 0) AS sb FROM p LEFT JOIN s x ON x.k = p.a LEFT JOIN s y ON y.k = p.b) SELECT CASE WHEN sa > sb OR sa = sb AND a < b THEN b ELSE a END AS loser, CASE WHEN sa > sb OR sa = sb AND a < b THEN a ELSE b END AS winner FROM j")
+def cut_overlaps(t: Tables) -> DataFrame:
+    from fieldlark.operators import survey as V
+
+    pairs = range_bin_join(t).select(F.col("l_k").alias("a"), F.col("r_k").alias("b"))
+    return V.cut_overlaps(pairs, t.lineitem.groupBy(F.col("l_partkey").alias("block")).agg(F.count(F.lit(1)).cast("double").alias("support")))
