@@ -271,14 +271,14 @@ def gap_islands(t: Tables) -> DataFrame:
     return W.gaps(t.events.select("user_id", "event_id", seconds("ts").alias("s")), ["user_id"], "s", least=43_200, unique="event_id")
 
 
-_SPANS = "SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + 600 + CAST(floor(value) AS BIGINT) % 50 * 600 AS b FROM events"
+_SPANS = "SELECT user_id, event_id, event_type AS kind, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + 600 + CAST(floor(value) AS BIGINT) % 50 * 600 AS b FROM events"
 _UNION = """SELECT user_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (
 SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM spans)) GROUP BY user_id, island"""
 
 
 def _spans(t: Tables) -> DataFrame:
     a = seconds("ts")
-    return t.events.select("user_id", "event_id", a.alias("a"), (a + 600 + F.floor("value").cast("long") % 50 * 600).alias("b"))
+    return t.events.select("user_id", "event_id", "event_type", a.alias("a"), (a + 600 + F.floor("value").cast("long") % 50 * 600).alias("b"))
 
 
 @query("interval_union", f"WITH spans AS ({_SPANS}) {_UNION}")
@@ -293,7 +293,7 @@ def interval_holes(t: Tables) -> DataFrame:
 
 @query(
     "interval_difference",
-    f"""WITH spans AS (SELECT * FROM ({_SPANS}) WHERE event_id % 5 = 0), cuts AS (SELECT user_id, a AS x, a + 900 AS y, event_id FROM ({_SPANS}) WHERE event_id % 5 <> 0),
+    f"""WITH spans AS (SELECT * FROM ({_SPANS}) WHERE kind = 'click'), cuts AS (SELECT user_id, a AS x, a + 900 AS y, event_id FROM ({_SPANS}) WHERE kind <> 'click'),
 merged AS (SELECT user_id, min(x) AS x, max(y) AS y FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY x, y, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (
   SELECT *, CASE WHEN x <= max(y) OVER (PARTITION BY user_id ORDER BY x, y, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM cuts)) GROUP BY user_id, island),
 edges AS (SELECT s.user_id, s.event_id, s.a, s.b, m.x, m.y FROM spans s LEFT JOIN merged m ON s.user_id = m.user_id AND m.x < s.b AND m.y > s.a),
@@ -302,8 +302,8 @@ parts AS (SELECT user_id, event_id, coalesce(lag(y) OVER w, a) AS pa, coalesce(x
 SELECT user_id, event_id, pa AS a, pb AS b, censored FROM parts WHERE pa < pb""",
 )
 def interval_difference(t: Tables) -> DataFrame:
-    spans = _spans(t).where("event_id % 5 = 0")
-    cuts = _spans(t).where("event_id % 5 <> 0").select("user_id", "a", (F.col("a") + 900).alias("b"))
+    spans = _spans(t).where("event_type = 'click'")
+    cuts = _spans(t).where("event_type <> 'click'").select("user_id", "a", (F.col("a") + 900).alias("b"))
     return W.subtract_intervals(spans, cuts, ["user_id"], "event_id", "a", "b")
 
 

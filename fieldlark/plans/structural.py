@@ -70,13 +70,12 @@ def duplicate_keys(t: Tables) -> DataFrame:
 
 @query(
     "compare_sets",
-    """WITH e AS (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey < 20), a AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS v FROM nation WHERE n_nationkey > 4)
-SELECT 'error' AS severity, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' ELSE 'different' END AS code, CAST(coalesce(e.k, a.k) AS VARCHAR) AS object_id, concat_ws(' / ', e.v, a.v) AS detail FROM e FULL JOIN a ON e.k = a.k WHERE a.k IS NULL OR e.k IS NULL OR e.v <> a.v""",
+    """WITH e AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_nationkey AS v FROM customer), a AS (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_nationkey AS v FROM supplier)
+SELECT 'error' AS severity, CASE WHEN a.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' ELSE 'different' END AS code, coalesce(e.k, a.k) AS object_id, concat_ws(' / ', CAST(e.v AS VARCHAR), CAST(a.v AS VARCHAR)) AS detail FROM e FULL JOIN a ON e.k = a.k WHERE a.k IS NULL OR e.k IS NULL OR e.v <> a.v""",
 )
 def compare_sets(t: Tables) -> DataFrame:
-    e = t.nation.where("n_nationkey < 20").select("n_nationkey", "n_name")
-    a = t.nation.where("n_nationkey > 4").select("n_nationkey", F.when(F.col("n_nationkey") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("n_name"))
-    return K.compare_sets(e, a, "n_nationkey", "n_name")
+    e = t.customer.select(F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").alias("v"))
+    return K.compare_sets(e, t.supplier.select(F.col("s_suppkey").cast("string").alias("k"), F.col("s_nationkey").alias("v")), "k", "v")
 
 
 @query("dense_order", "SELECT 'error' AS severity, 'order_not_dense' AS code, CAST(l_orderkey AS VARCHAR) AS object_id, CAST(count(*) AS VARCHAR) AS detail FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
@@ -149,18 +148,19 @@ def mean_and_gates(t: Tables) -> DataFrame:
 
 @query(
     "baseline_drops",
-    """WITH c AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS v FROM events WHERE user_id % 10 <> 0 GROUP BY 1), b AS (SELECT user_id, CAST(count(*) + user_id % 3 AS DOUBLE) AS v FROM events GROUP BY 1)
+    """WITH c AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS v FROM events WHERE event_type <> 'view' GROUP BY 1), b AS (SELECT user_id, CAST(count(*) + user_id % 3 AS DOUBLE) AS v FROM events GROUP BY 1)
 SELECT b.user_id, b.v AS was, c.v AS now FROM b LEFT JOIN c ON b.user_id = c.user_id WHERE c.v IS NULL OR b.v - c.v > 1""",
 )
 def baseline_drops(t: Tables) -> DataFrame:
     n = F.count(F.lit(1))
-    current = t.events.where("user_id % 10 <> 0").groupBy("user_id").agg(n.cast("double").alias("v"))
+    current = t.events.where("event_type <> 'view'").groupBy("user_id").agg(n.cast("double").alias("v"))
     base = t.events.groupBy("user_id").agg((n + F.first("user_id") % 3).cast("double").alias("v"))
     return E.compare_to_baseline(current, base, ["user_id"], "v", max_drop=1)
 
 
 # --- joins -------------------------------------------------------------------------------------------------
 
+_ZONE = "SELECT s_suppkey AS k, CAST(s_suppkey * 7 % 100 AS DOUBLE) AS x0, CAST(s_suppkey * 11 % 50 AS DOUBLE) AS y0, CAST(s_suppkey * 7 % 100 + 3 AS DOUBLE) AS x1, CAST(s_suppkey * 11 % 50 + 4 AS DOUBLE) AS y1 FROM supplier"
 _BOX = "SELECT p_partkey AS k, CAST(p_partkey % 100 AS DOUBLE) AS x0, CAST(p_size AS DOUBLE) AS y0, CAST(p_partkey % 100 + 1 + p_partkey % 3 AS DOUBLE) AS x1, CAST(p_size + 2 AS DOUBLE) AS y1 FROM part"
 
 
@@ -169,6 +169,11 @@ def _boxes(t: Tables) -> DataFrame:
     return t.part.select(k.alias("k"), (k % 100).cast("double").alias("x0"), s.cast("double").alias("y0"), (k % 100 + 1 + k % 3).cast("double").alias("x1"), (s + 2).cast("double").alias("y1"))
 
 
+def _zones(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    return t.supplier.select(k.alias("k"), (k * 7 % 100).cast("double").alias("x0"), (k * 11 % 50).cast("double").alias("y0"), (k * 7 % 100 + 3).cast("double").alias("x1"), (k * 11 % 50 + 4).cast("double").alias("y1"))
+
+
 @query(
     "range_bin_join",
     f"""WITH b AS ({_BOX}), p AS (SELECT l.k AS l_k, r.k AS r_k, (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) AS overlap, (l.x1 - l.x0) * (l.y1 - l.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) AS s
@@ -216,27 +221,25 @@ def nearest_value_join(t: Tables) -> DataFrame:
 
 @query(
     "best_block_lookup",
-    f"""WITH b AS ({_BOX}), w AS (SELECT * FROM b WHERE k % 10 = 0), z AS (SELECT * FROM b WHERE k % 10 = 5),
+    f"""WITH w AS ({_BOX}), z AS ({_ZONE}),
 p AS (SELECT w.k AS k, z.k AS block, greatest(0, least(w.x1, z.x1) - greatest(w.x0, z.x0)) * greatest(0, least(w.y1, z.y1) - greatest(w.y0, z.y0)) AS o,
   sqrt(pow(greatest(0, greatest(w.x0, z.x0) - least(w.x1, z.x1)), 2) + pow(greatest(0, greatest(w.y0, z.y0) - least(w.y1, z.y1)), 2)) AS d FROM w CROSS JOIN z),
 n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o DESC, d, block) AS turn FROM p WHERE d <= 2) SELECT w.k, n.block FROM w LEFT JOIN n ON n.k = w.k AND turn = 1""",
 )
 def best_block_lookup(t: Tables) -> DataFrame:
-    b = _boxes(t)
-    return P.best_block(b.where("k % 10 = 0"), b.where("k % 10 = 5").withColumnRenamed("k", "block"), "k", "block", cell=8, limit=2.0)
+    return P.best_block(_boxes(t), _zones(t).withColumnRenamed("k", "block"), "k", "block", cell=8, limit=2.0)
 
 
 @query(
     "overlap_shares",
-    f"""WITH b AS ({_BOX}), a AS (SELECT * FROM b WHERE k % 10 = 0), z AS (SELECT *, 'kind' || CAST(k % 3 AS VARCHAR) AS kind FROM b WHERE k % 2 = 1),
+    f"""WITH a AS ({_ZONE}), z AS (SELECT *, 'kind' || CAST(k % 3 AS VARCHAR) AS kind FROM ({_BOX})),
 p AS (SELECT a.k AS k, z.k AS zk, z.kind, (least(a.x1, z.x1) - greatest(a.x0, z.x0)) * (least(a.y1, z.y1) - greatest(a.y0, z.y0)) AS o, (z.x1 - z.x0) * (z.y1 - z.y0) AS own FROM a JOIN z ON a.x0 < z.x1 AND z.x0 < a.x1 AND a.y0 < z.y1 AND z.y0 < a.y1),
 q AS (SELECT * FROM p WHERE o >= 2 OR o >= 0.5 * own), n AS (SELECT k, kind, count(*) AS c FROM q GROUP BY 1, 2)
 SELECT q.k, count(*) AS n_parcels, string_agg('Z' || zk, ';' ORDER BY 'Z' || zk) AS parcel_ids, (SELECT string_agg(kind || '=' || c, ';' ORDER BY kind || '=' || c) FROM n WHERE n.k = q.k) AS kinds FROM q GROUP BY q.k""",
 )
 def overlap_shares(t: Tables) -> DataFrame:
-    b = _boxes(t)
-    z = b.where("k % 2 = 1").withColumn("kind", F.concat(F.lit("kind"), F.col("k") % 3)).withColumn("parcel", F.concat(F.lit("Z"), F.col("k")))
-    return P.overlap_shares(b.where("k % 10 = 0"), z, "k", "parcel", "kind", cell=8, least_area=2, least_share=0.5)
+    z = _boxes(t).withColumn("kind", F.concat(F.lit("kind"), F.col("k") % 3)).withColumn("parcel", F.concat(F.lit("Z"), F.col("k")))
+    return P.overlap_shares(_zones(t), z, "k", "parcel", "kind", cell=8, least_area=2, least_share=0.5)
 
 
 # --- selection ---------------------------------------------------------------------------------------------
@@ -262,12 +265,12 @@ def hold_out_tiles(t: Tables) -> DataFrame:
 
 @query(
     "drop_confirmed_boxes",
-    f"""WITH b AS (SELECT *, k % 5 AS tile FROM ({_BOX})) SELECT a.* FROM b a WHERE a.k % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM b c WHERE c.k % 4 = 0 AND c.tile = a.tile AND a.x0 < c.x1 AND c.x0 < a.x1 AND a.y0 < c.y1 AND c.y0 < a.y1
+    f"""WITH b AS (SELECT *, k % 5 AS tile FROM ({_BOX})), z AS (SELECT *, k % 5 AS tile FROM ({_ZONE})) SELECT a.* FROM b a WHERE NOT EXISTS (SELECT 1 FROM z c WHERE c.tile = a.tile AND a.x0 < c.x1 AND c.x0 < a.x1 AND a.y0 < c.y1 AND c.y0 < a.y1
 AND (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) - (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0))) >= 0.3)""",
 )
 def drop_confirmed_boxes(t: Tables) -> DataFrame:
     b = _boxes(t).withColumn("tile", F.col("k") % 5)
-    return M.drop_duplicates_of(b.where("k % 4 <> 0"), b.where("k % 4 = 0"), "tile", "k")
+    return M.drop_duplicates_of(b, _zones(t).withColumn("tile", F.col("k") % 5), "tile", "k")
 
 
 @query("nms_1d")
@@ -279,7 +282,7 @@ def nms_1d(t: Tables) -> DataFrame:
 
 def _candidates(t: Tables) -> DataFrame:
     b = _boxes(t).withColumn("tile", F.col("k") % 20)
-    p = P.iou_pairs(b.where("k % 2 = 0"), b.where("k % 2 = 1").drop("tile"), cell=8)
+    p = P.iou_pairs(b, _zones(t), cell=8)
     return p.select(F.col("l_tile").alias("tile"), F.col("l_k").alias("l"), F.col("r_k").alias("r"), F.col("iou").alias("score"))
 
 
@@ -310,18 +313,18 @@ def contiguous_parts(t: Tables) -> DataFrame:
 
 @query(
     "components",
-    """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + p_size AS b FROM part WHERE p_size % 3 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + p_size * 37 AS b FROM part), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, reach) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""",
 )
 def graph_components(t: Tables) -> DataFrame:
-    return G.components(t.part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size")).alias("b")))
+    return G.components(t.part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size") * 37).alias("b")))
 
 
-_ROADS = "SELECT CAST(c_nationkey AS BIGINT) AS a, c_custkey % 25 AS b, CAST(1 + c_custkey % 9 AS BIGINT) AS w FROM customer WHERE c_custkey % 7 = 0"
+_ROADS = "SELECT CAST(c_nationkey AS BIGINT) AS a, c_custkey % 25 AS b, CAST(1 + c_custkey % 9 AS BIGINT) AS w FROM customer"
 
 
 def _roads(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey % 7 = 0").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).alias("b"), (1 + F.col("c_custkey") % 9).alias("w"))
+    return t.customer.select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).alias("b"), (1 + F.col("c_custkey") % 9).alias("w"))
 
 
 @query("adjacency", f"WITH e AS ({_ROADS}), o AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(w) AS w FROM e WHERE a <> b GROUP BY 1, 2) SELECT * FROM o UNION ALL SELECT b, a, w FROM o")
@@ -332,17 +335,17 @@ def adjacency(t: Tables) -> DataFrame:
 @query(
     "shortest_path_len",
     f"""WITH RECURSIVE e AS ({_ROADS}), s AS (SELECT a, b, w FROM e UNION SELECT b, a, w FROM e),
-r(source, node, dist) AS (SELECT n_nationkey, CAST(n_nationkey AS BIGINT), CAST(0 AS BIGINT) FROM nation WHERE n_nationkey < 5 UNION SELECT r.source, s.b, r.dist + s.w FROM r JOIN s ON s.a = r.node WHERE r.dist + s.w <= 40)
+r(source, node, dist) AS (SELECT n_nationkey, CAST(n_nationkey AS BIGINT), CAST(0 AS BIGINT) FROM nation UNION SELECT r.source, s.b, r.dist + s.w FROM r JOIN s ON s.a = r.node WHERE r.dist + s.w <= 40)
 SELECT CAST(source AS BIGINT) AS source, node, min(dist) AS dist FROM r GROUP BY 1, 2""",
 )
 def shortest_path_len(t: Tables) -> DataFrame:
-    return G.shortest_lengths(_roads(t), t.nation.where("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("node")), "w")
+    return G.shortest_lengths(_roads(t), t.nation.select(F.col("n_nationkey").cast("long").alias("node")), "w")
 
 
 @query("distance_matrix")
 def distance_matrix(t: Tables) -> DataFrame:
     """The same distances by heaps on workers."""
-    return G.distance_matrix(_roads(t), t.nation.where("n_nationkey < 5").select(F.col("n_nationkey").alias("node")), "w")
+    return G.distance_matrix(_roads(t), t.nation.select(F.col("n_nationkey").alias("node")), "w")
 
 
 # --- sets, bundles, changes --------------------------------------------------------------------------------
@@ -393,10 +396,10 @@ def visible_rows(t: Tables) -> DataFrame:
 
 @query(
     "group_by_farm",
-    """SELECT coalesce(n_name, '__none') AS farm, count(*) AS n, string_agg(DISTINCT CAST(c_custkey % 7 AS VARCHAR), ';' ORDER BY CAST(c_custkey % 7 AS VARCHAR)) AS blocks FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) ON c_nationkey = n_nationkey GROUP BY 1""",
+    """SELECT coalesce(n_name, '__none') AS farm, count(*) AS n, string_agg(DISTINCT CAST(c_custkey % 7 AS VARCHAR), ';' ORDER BY CAST(c_custkey % 7 AS VARCHAR)) AS blocks FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 0) ON c_nationkey = n_nationkey GROUP BY 1""",
 )
 def group_by_farm(t: Tables) -> DataFrame:
-    farms = t.nation.where("n_nationkey % 4 <> 0").select("n_nationkey", "n_name")
+    farms = t.nation.where("n_regionkey <> 0").select("n_nationkey", "n_name")
     j = t.customer.join(F.broadcast(farms), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # 25 nations
     return j.groupBy(F.coalesce("n_name", F.lit("__none")).alias("farm")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set((F.col("c_custkey") % 7).cast("string"))), ";").alias("blocks"))
 
@@ -515,7 +518,7 @@ def profile_gap_kinds(t: Tables) -> DataFrame:
 
 @query(
     "farms_of_blocks",
-    f"""WITH RECURSIVE b AS (SELECT 'V' || k AS block, k, x0 * 4 AS x0, y0 * 4 AS y0, x1 * 4 - 3 AS x1, y1 * 4 - 7 AS y1 FROM ({_BOX}) WHERE k % 3 = 0),
+    f"""WITH RECURSIVE b AS (SELECT 'V' || k AS block, k, x0 * 4 AS x0, y0 * 4 AS y0, x1 * 4 - 3 AS x1, y1 * 4 - 7 AS y1 FROM ({_BOX})),
 l AS (SELECT p.k AS a, q.k AS b FROM b p JOIN b q ON p.k <> q.k AND pow(greatest(0, greatest(p.x0, q.x0) - least(p.x1, q.x1)), 2) + pow(greatest(0, greatest(p.y0, q.y0) - least(p.y1, q.y1)), 2) <= 4),
 r(node, reach) AS (SELECT k, k FROM b UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach), c AS (SELECT node, min(reach) AS farm FROM r GROUP BY node)
 SELECT CASE WHEN row_number() OVER (ORDER BY farm) < 10 THEN 'F0' ELSE 'F' END || row_number() OVER (ORDER BY farm) AS farm_id, string_agg(b.block, ',' ORDER BY b.k) AS blocks, count(*) AS n_blocks, CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) AS area FROM c JOIN b ON b.k = c.node GROUP BY farm""",
@@ -524,7 +527,7 @@ def farms_of_blocks(t: Tables) -> DataFrame:
     from fieldlark.operators import survey as V
 
     k = F.col("k")
-    b = _boxes(t).where("k % 3 = 0").select(F.concat(F.lit("V"), k).alias("block"), (F.col("x0") * 4).alias("x0"), (F.col("y0") * 4).alias("y0"), (F.col("x1") * 4 - 3).alias("x1"), (F.col("y1") * 4 - 7).alias("y1")).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    b = _boxes(t).select(F.concat(F.lit("V"), k).alias("block"), (F.col("x0") * 4).alias("x0"), (F.col("y0") * 4).alias("y0"), (F.col("x1") * 4 - 3).alias("x1"), (F.col("y1") * 4 - 7).alias("y1")).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     links = V.block_links(b, "block", gap_m=2.0, always_m=0.5, cell=16)
     return V.farms(b, links, "block", "area")
 
