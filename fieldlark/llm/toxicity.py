@@ -112,8 +112,8 @@ def _split(text: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, max_bytes: int = 65_536, vocabulary: int = 512, ratio: float = 8.0, k: int = 9) -> ToxicityModel:
-    """per_class, max_bytes: bounds of the labelled sample; vocabulary: most terms; ratio: least odds of a term between the classes."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, max_bytes: int = 65_536, vocabulary: int = 512, ratio: float = 8.0, least_share: float = 0.012, k: int = 9) -> ToxicityModel:
+    """per_class, max_bytes: bounds of the labelled sample; vocabulary: most terms; ratio, least_share: least odds of a term between the classes and least share of toxic texts with it."""
     sample, sizes = labelled_sample(docs, labels, label, per_class=per_class, max_bytes=max_bytes)
     total = sum(sizes.values())
     base = sizes.get(1, 0) / total if total else 0.0
@@ -134,7 +134,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
     cut = sum(map(len, seen[0]))
     clean, toxic = (np.bincount(w, minlength=len(all_terms)) for w in (where[:cut], where[cut:]))
     p, q = toxic / n[1], clean / n[0]
-    pick = np.flatnonzero((toxic >= max(3, n[1] // 500)) & (p >= ratio * (q + 0.5 / n[0])))
+    pick = np.flatnonzero((toxic >= max(3, least_share * n[1])) & (p >= ratio * (q + 0.5 / n[0])))
     pooled = (toxic + clean)[pick] / n.sum()
     gain = (p - q)[pick] ** 2 / np.maximum(pooled * (1 - pooled), 1e-9)
     pick = pick[np.lexsort((all_terms[pick], -gain))[:vocabulary]]
