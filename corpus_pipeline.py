@@ -69,11 +69,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; what a stage keeps is written to the shared checkpoint folder."""
+    """The stages over ``documents``.
+
+    What a stage keeps is written to the shared checkpoint folder and removed
+    once the next stage is written; the last one stays for the rows returned.
+    """
     ship_package(spark)
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
