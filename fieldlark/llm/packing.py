@@ -132,7 +132,7 @@ class _Stream:
 
 
 def pack_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = 2048, eos_id: int = 1, split_penalty: int = 4, hard_penalty: int = 16, long_sentence: int = 96, hard_step: int = 16, block_tokens: int = 1 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = 2048, eos_id: int = 1, split_penalty: int = 4, hard_penalty: int = 8, long_sentence: int = 64, hard_step: int = 8, block_tokens: int = 1 << 20
 ) -> DataFrame:
     """A row per piece: (id, start, length, doc_tokens, sequence_id, offset, ids).
 
