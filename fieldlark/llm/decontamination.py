@@ -4,9 +4,12 @@ A random walk embeds a window of words: at each step the current word is put
 out and a random bit of (walk, step, word) says whether to move on. Strings at
 small edit distance thus get embeddings at small Hamming distance (the walks
 meet again soon after an edit), and sampling coordinates finds them. Walks go
-from every STRIDE-th word of a document; items are embedded from each of their
-first STRIDE words, so some start always lines up. Windows are sized by item:
-a class of items of l to l * 1.5 words samples steps up to about 1.5 l.
+from every STRIDE-th word of a document; items are embedded from STRIDE words in
+a row, so some start always lines up. Windows are sized by item: a class of
+items of l to l * 1.5 words samples steps up to about 1.5 l, and items beyond
+MOST steps have windows of that size. An item is embedded from anchors half a
+window apart, the last one reaching its end, so windows cover it whole: however
+its edits lie, some window has no more than their average share.
 
 WALKS walks with SAMPLES samples of COORDINATES each lead to candidates, which
 are verified exactly: the least word-level edit distance between the item and
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from .blocks import Block, blocks, make_block, mix
 
 STRIDE, WALKS, SAMPLES, COORDINATES = 4, 6, 3, 4
+MOST = 96  # steps of a window; a walk takes about two a word
 _U = np.uint64
 
 
@@ -58,29 +62,31 @@ class Index:
         block = make_block(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
         h = normal_hashes(block)
         self.words = [h[a:b] for a, b in zip(block.word_at[:-1], block.word_at[1:])]
+        self.kinds = [frozenset(w.tolist()) for w in self.words]
         self.ids = [i for i, _ in items]
         self.seeds = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, WALKS, dtype=np.uint64)
         classes = defaultdict(list)
         for k, w in enumerate(self.words):
             if len(w):
                 low = 1
-                while low * 1.5 <= len(w) and int(low * 1.5) > low or low < 2 and len(w) >= 2:
+                while low * 1.5 < MOST and (low * 1.5 <= len(w) and int(low * 1.5) > low or low < 2 and len(w) >= 2):
                     low = max(low + 1, int(low * 1.5))
                 classes[low].append(k)
         self.classes = []
         rng = np.random.Generator(np.random.PCG64(seed + 1))
         for low, members in sorted(classes.items()):
-            shift = min(STRIDE, max(1, low // 4))  # starts of an item that are embedded
-            steps = max(1, min(int(low * 1.5), 96))
+            shift = min(STRIDE, max(1, low // 4))  # starts at an anchor that are embedded
+            steps = max(1, min(int(low * 1.5), MOST))
             pick = [[np.sort(rng.choice(steps, min(COORDINATES, steps), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
             self.classes.append((shift, steps, pick, members))
         self.steps = max((c[1] for c in self.classes), default=0)
         self.tables = []  # per class, walk and sample: sorted keys, and (item, shift) of each
-        for shift, _, pick, members in self.classes:
+        for shift, steps, pick, members in self.classes:
             flat = np.concatenate([np.concatenate((self.words[k], np.zeros(self.steps + 1, np.uint64))) for k in members])
             at = np.cumsum([0, *(len(self.words[k]) + self.steps + 1 for k in members)])[:-1]
-            starts = np.concatenate([a + np.arange(min(shift, len(self.words[k]))) for a, k in zip(at, members)])
-            who = np.concatenate([np.column_stack((np.full(min(shift, len(self.words[k])), k), np.arange(min(shift, len(self.words[k]))))) for k in members])
+            skips = [self.skips(len(self.words[k]), shift, steps) for k in members]
+            starts = np.concatenate([a + x for a, x in zip(at, skips)])
+            who = np.concatenate([np.column_stack((np.full(len(x), k), x)) for k, x in zip(members, skips)])
             per = []
             for w in range(WALKS):
                 (keys,) = self.embed(flat, [starts], [pick[w]], w)
@@ -91,6 +97,12 @@ class Index:
                     per.append((x[order], who[order], seen))
             self.tables.append(per)
 
+    def skips(self, n: int, shift: int, steps: int) -> np.ndarray:
+        """Words of an item of n words from which it is embedded."""
+        last = max(0, n - shift - steps // 2) if n * self.edits >= 1 else 0  # a copy without edits has its opening
+        anchors = np.append(np.arange(0, last, max(1, steps // 4)), last)
+        return np.unique((anchors[:, None] + np.arange(min(shift, n))).ravel())
+
     def embed(self, words: np.ndarray, starts: list[np.ndarray], picks: list[list[np.ndarray]], walk: int) -> list[list[np.ndarray]]:
         """Sampled keys of walks from ``starts`` (an array per set of picks); words end in a margin."""
         out = []
@@ -187,6 +199,8 @@ class Index:
             tried.add((doc, item, start // (room + 1)))
             a = max(int(block.word_at[doc]), start - 2 * room)
             b = min(int(block.word_at[doc + 1]), start + m + 2 * room)
+            if len(self.kinds[item].difference(h[a:b].tolist())) > m * self.edits:  # each word that is missing takes an edit
+                continue
             d, end = self.distance(item, h[a:b])
             if d <= m * self.edits and (d, a + end) < best.get((doc, item), (m + 1, 0, 0))[:2]:
                 best[doc, item] = (d, a + end, max(a, a + end - m))

@@ -138,6 +138,22 @@ def test_edit_distance_and_recall():
         assert sum((k, k) in found for k in range(len(items))) / len(items) >= least
 
 
+@pytest.mark.parametrize("where", ["random", "start", "middle", "end"])
+@pytest.mark.parametrize("size", [90, 100, 200, 400])
+def test_recall_of_long_items(size, where):
+    rng = random.Random(size)
+    items = [(k, " ".join(rng.choices([f"w{i}" for i in range(3000)], k=size)).encode()) for k in range(60)]
+    index, texts, n = D.Index(items, 0.2), [], int(size * 0.19)
+    for _, t in items:
+        w = t.decode().split()
+        a = {"start": 0, "middle": (size - n) // 2, "end": size - n}.get(where)
+        for p in rng.sample(range(size), n) if a is None else range(a, a + n):
+            w[p] = rng.choice(("", f"new{rng.random()}", f"{w[p]} more{rng.random()}"))
+        texts.append(" ".join([*(f"f{rng.randrange(5000)}" for _ in range(rng.randint(20, 60))), *w, "and the rest"]))
+    found = {(b.first + d, i) for b in blocks(pa.array(texts)) for d, i, *_ in index.leaks(b)}
+    assert sum((k, k) in found for k in range(len(items))) / len(items) >= 0.97
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(7)
     e = rng.random((300, 20)) * (rng.random((300, 20)) < 0.15)
