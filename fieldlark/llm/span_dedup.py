@@ -2,8 +2,10 @@
 
 A sentence ends at ``.``, ``!`` or ``?`` before white space, at a line end, or
 at the end of the text; a stretch of over LONG words without such an end is cut
-after words whose hash says so or that repeat the one before, so equal stretches are cut alike wherever they
-stand. From each sentence a run goes on until it has ``min_sentences`` and
+by winnowing, after the least word hash (the first of equal ones) of every WINDOW
+words in a row. So there is a cut in every WINDOW words, equal stretches are cut
+alike but for WINDOW - 1 words at their ends, and any 50 words that two documents
+share have a run in common if their sentences end alike. From each sentence a run goes on until it has ``min_sentences`` and
 ``min_words``; its 128-bit hash covers its words, ASCII case folded. A run
 belongs to the document with the least id that has it (and there to its first
 place); every sentence that any other occurrence covers is removed.
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from .blocks import Block, blocks, mix
 
-LONG = 16
+LONG, WINDOW = 16, 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _CLOSE = np.zeros(256, bool)
@@ -80,9 +82,9 @@ def sentences(block: Block, min_sentences: int, min_words: int) -> Sentences:
     size = np.diff(first)
     if (size > LONG).any():
         inside = np.repeat(size > LONG, size)
-        said = np.zeros(n, bool)
-        said[1:] = block.hashes[1:] == block.hashes[:-1]
-        last |= inside & (said | ((block.hashes >> _U(40)) % _U(8) == 0))
+        stretch = np.repeat(np.arange(len(size)), size)
+        window = np.flatnonzero(inside[WINDOW - 1 :] & (stretch[WINDOW - 1 :] == stretch[: n - WINDOW + 1]))  # first words
+        last[window + np.lib.stride_tricks.sliding_window_view(mix(block.hashes), WINDOW)[window].argmin(1)] = True
         first = np.concatenate(([0], np.flatnonzero(last) + 1))
     count = len(first) - 1
     doc = np.searchsorted(block.word_at, first[:-1], "right") - 1

@@ -181,6 +181,28 @@ def test_op4(spark, sf_dir, texts):
         assert bool(r.removed) == (r.n_removed > 0)
 
 
+def kept_whole(before, after, n=51):
+    """Runs of n words that two texts shared before and still share after."""
+    runs = lambda ts: collections.Counter(h for t in ts for h in {tuple(w[a : a + n]) for w in [(t or "").lower().encode().split()] for a in range(len(w) - n + 1)})
+    old = runs(before)
+    return [h for h, k in runs(after).items() if k > 1 and old[h] > 1]
+
+
+def test_long_shared_passages(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    rows = []
+    for k in range(300):
+        p = words(51) if k % 3 else f"{words(k % 50 + 1)}. {words(50 - k % 50)}"
+        rows += [(2 * k, f"{words(rng.integers(0, 40))} {p} {words(rng.integers(0, 40))}"), (2 * k + 1, f"{words(rng.integers(0, 40))} {p} {words(rng.integers(0, 40))}")]
+    out = [r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert not kept_whole([t for _, t in rows], out)
+
+
+def test_long_shared_passages_of_the_table(spark, sf_dir, texts):
+    assert not kept_whole(texts.values(), [r.text for r in Q.op4_span_dedup(spark, sf_dir).collect()])
+
+
 def test_span_rules(spark):
     p = "Alpha beta gamma delta one two. Epsilon zeta eta theta three four. Iota kappa lambda mu five six."
     rows = [(2, f"Start here now. {p} End of it."), (1, p), (3, "Nothing shared in this one at all, my friend. Really nothing is shared."), (None, p), (4, f"{p} {p}")]
