@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from fieldlark.session import Steps
 
 MOST_EDGES = 5_000_000  # of a graph that is sent whole to workers
 
@@ -21,23 +24,56 @@ MOST_EDGES = 5_000_000  # of a graph that is sent whole to workers
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node reachable. edges: (a, b); nodes: (node) to name isolated ones too.
 
-    Every round takes the least label of the neighbours, then that label's own
-    label, until no label changes.
+    Alternating stars: links (a, b), a > b, are first moved so that every node
+    hands its larger neighbours to the least one it knows, then so that its
+    smaller neighbours hang on their least; last, the links that meet in one
+    partition are made stars there. All keep what is connected; rounds grow with
+    the logarithm of the graph's length at most and end when each node hangs on
+    the least of its component. Least nodes are tables of their own, so both
+    sides of a join are plain shuffles and the engine's skew join can split a hub.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m_")).select("node", F.least("node", "m_").alias("component")).checkpoint()
+    steps = Steps(edges.sparkSession)
+    every = steps.put("edges", edges.select("a", "b"))
+    links = steps.put("links", _local_stars(every.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near_"))
-        spread = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old_"), F.least("component", "near_").alias("mid_"))
-        jump = spread.select(F.col("node").alias("mid_"), F.col("mid_").alias("next_"))
-        labels = spread.join(jump, "mid_", "left").select("node", F.least("mid_", "next_").alias("component"), "old_").checkpoint()
-        changed = not labels.where("component <> old_").isEmpty()
-        labels = labels.select("node", "component")
-        if not changed:
+        low = steps.put("low", links.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")))
+        up = low.select(F.col("a").alias("b"), "low")
+        if low.where("n > 1").isEmpty() and links.join(up, "b", "left_semi").isEmpty():
             break
-    if nodes is None:
-        return labels
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        large = steps.put("large", links.join(up, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct())
+        low = steps.put("low", large.groupBy("a").agg(F.min("b").alias("low")))
+        side = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        links = steps.put("links", _local_stars(side.union(low.select("a", F.col("low").alias("b"))).distinct()))
+    known = every.select(F.col("a").alias("node")).union(every.select("b")).distinct() if nodes is None else nodes.select("node")
+    return known.join(links.withColumnsRenamed({"a": "node", "b": "component"}), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _local_stars(links: DataFrame) -> DataFrame:
+    """Each partition's links (a, b), every node on the least it reaches there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
+        if table is None:
+            return
+        a, b = (table.column(i).combine_chunks() for i in (0, 1))
+        names, at = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (a, b)]), return_inverse=True)
+        a, b = at[: len(a)], at[len(a) :]
+        label = np.arange(len(names))
+        while True:
+            low = label.copy()
+            for x, y in ((a, b), (b, a)):
+                np.minimum.at(low, label[x], label[y])
+                np.minimum.at(low, x, label[y])
+            while (low != (jump := low[low])).any():
+                low = jump
+            if (low == label).all():
+                break
+            label = low
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[moved], schema.types[0]), pa.array(names[label[moved]], schema.types[1])], schema=schema)
+
+    schema = to_arrow_schema(links.schema)
+    return links.mapInArrow(run, links.schema)
 
 
 def adjacency(edges: DataFrame, weight: str) -> DataFrame:
@@ -55,16 +91,17 @@ def component_report(labels: DataFrame, edges: DataFrame, weight: str, start: in
 
 def shortest_lengths(edges: DataFrame, sources: DataFrame, weight: str, *, most_rounds: int = 10_000) -> DataFrame:
     """(source, node, dist): rounds of relaxation from all sources at once; only labels that fell go on."""
-    adj = adjacency(edges, weight).checkpoint()
+    steps = Steps(edges.sparkSession)
+    adj = steps.put("adjacency", adjacency(edges, weight))
     zero = F.lit(0).cast(edges.schema[weight].dataType)
-    best = sources.select(F.col("node").alias("source"), "node", zero.alias("dist")).distinct().checkpoint()
-    front = best
+    best = steps.put("best", sources.select(F.col("node").alias("source"), "node", zero.alias("dist"), F.lit(True).alias("fell")).distinct())
     for _ in range(most_rounds):
-        step = front.join(adj, front.node == adj.a).groupBy("source", "b").agg(F.min(F.col("dist") + F.col(weight)).alias("new_")).select("source", F.col("b").alias("node"), "new_")
-        merged = best.join(step, ["source", "node"], "full_outer").select("source", "node", F.least("dist", "new_").alias("dist"), (F.col("dist").isNull() | (F.col("new_") < F.col("dist"))).alias("fell_")).checkpoint()
-        best, front = merged.select("source", "node", "dist"), merged.where("fell_").select("source", "node", "dist")
-        if front.isEmpty():
-            return best
+        front = best.where("fell")
+        step = front.join(adj, front.node == adj.a).groupBy("source", "b").agg(F.min(F.col("dist") + F.col(weight)).alias("new")).select("source", F.col("b").alias("node"), "new")
+        fell = F.col("dist").isNull() | F.coalesce(F.col("new") < F.col("dist"), F.lit(False))
+        best = steps.put("best", best.drop("fell").join(step, ["source", "node"], "full_outer").select("source", "node", F.least("dist", "new").alias("dist"), fell.alias("fell")))
+        if best.where("fell").isEmpty():
+            return best.drop("fell")
     raise RuntimeError("distances still fall after the most rounds")
 
 

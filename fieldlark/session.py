@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+class Steps:
+    """Tables of the steps of a job, written as Parquet in the shared checkpoint folder and read again.
+
+    A reread table has no lineage and the true size of its files. A plan's own
+    estimate is the product of its joins' inputs; in a loop its digits double
+    each round, checkpoints or not, until planning takes all the time.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n, self.paths = spark, f"{checkpoint_dir(spark)}/steps-{uuid.uuid4().hex}", 0, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """df as written; the name's former table goes."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{name}"
+        df.write.parquet(path)
+        if before := self.paths.pop(name, None):
+            delete_path(self.spark, before)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            delete_path(self.spark, self.paths.pop(name))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A checkpoint, after which shuffle files of finished steps go.
 
