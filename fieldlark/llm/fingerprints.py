@@ -6,8 +6,7 @@ Where several texts share a hash, their canonical bytes are compared; should
 they differ, the fingerprints of the second and later forms (in byte order) get
 a suffix, so fingerprints are equal if and only if canonical forms are.
 
-Only texts of shared hashes are compared; copies meet map-side first. Tables of
-the Unicode rules come from the interpreter's own database.
+Only texts of shared hashes are compared; copies meet map-side first.
 
 Null texts count as empty, repeated rows have equal fingerprints, an empty
 table gives no row.
@@ -15,9 +14,6 @@ table gives no row.
 
 from __future__ import annotations
 
-import functools
-import sys
-import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,96 +24,14 @@ BROADCAST_KEYS = 1 << 20  # 16 MB of key values at most
 _SIDE = 64  # id ranges are found in two steps of so many cuts
 
 
-# --- Unicode tables --------------------------------------------------------------------------------------
-
-
-def _regex_set(points: list[int]) -> str:
-    out, i = [], 0
-    while i < len(points):
-        j = i
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
-            j += 1
-        out.append(f"\\x{{{points[i]:x}}}" + (f"-\\x{{{points[j]:x}}}" if j > i else ""))
-        i = j + 1
-    return "".join(out)
-
-
-@functools.cache
-def unicode_rules() -> dict[str, str]:
-    """Regex sets and map texts for NFKC, from the rules of unicodedata."""
-    every = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
-    changed, joins, split, order, pairs = [], [], {}, {}, {}
-    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
-    for c in every:
-        ch = chr(c)
-        if k := unicodedata.combining(ch):
-            order[ch] = k
-        d = unicodedata.decomposition(ch)
-        if d and not d.startswith("<") and " " in d and unicodedata.normalize("NFC", unicodedata.normalize("NFD", ch)) == ch:
-            first, second = (chr(int(x, 16)) for x in d.split())
-            pairs[first + second] = ch
-            seconds.add(ord(second))
-        if unicodedata.normalize("NFKC", ch) != ch:
-            changed.append(c)
-        if not 0xAC00 <= c <= 0xD7A3 and (n := unicodedata.normalize("NFKD", ch)) != ch:
-            split[ch] = n
-    for lead in range(19):
-        for vowel in range(21):
-            lv = chr(0xAC00 + (lead * 21 + vowel) * 28)
-            pairs[chr(0x1100 + lead) + chr(0x1161 + vowel)] = lv
-            for tail in range(1, 28):
-                pairs[lv + chr(0x11A7 + tail)] = chr(ord(lv) + tail)
-    for c in every:
-        first = ord(split.get(chr(c), chr(c))[0])
-        if chr(c) in order or c in seconds or chr(first) in order or first in seconds:
-            joins.append(c)
-    odd = set(changed) | set(joins)
-    plain = [c for c in every if c not in odd and (c < 0x250 or 0x2010 <= c <= 0x2022 or 0x370 <= c < 0x530 or 0x3041 <= c < 0x3100 or 0x4E00 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4)]
-    text = lambda m: "\x02".join(f"{a}\x01{b}" for a, b in m.items())
-    latin = "".join(f"\\x{{{c:x}}}" for c in plain if c < 256)  # one by one: a bit set to the regex engine
-    return {"latin": latin, "plain": _regex_set(plain), "changed": _regex_set(changed), "joins": _regex_set(joins), "split": text(split), "order": text(order), "pairs": text(pairs)}
-
-
-def _look_up(table: str, key: Column) -> Column:
-    return F.try_element_at(F.str_to_map(F.lit(unicode_rules()[table]), F.lit("\x02"), F.lit("\x01")), key)
-
-
-def _nfkc_segment(segment: Column) -> Column:
-    """NFKC of a short run: decompose, order marks, compose."""
-    chars = F.filter(F.split(F.array_join(F.transform(F.filter(F.split(segment, ""), lambda c: c != ""), lambda c: F.coalesce(_look_up("split", c), c)), ""), ""), lambda c: c != "")
-    marked = F.transform(chars, lambda c: F.struct(c.alias("c"), F.coalesce(_look_up("order", c).cast("int"), F.lit(0)).alias("k")))
-    # (starters so far, class, place, character): the canonical order is the sort order
-    start = F.struct(F.array().cast("array<struct<s:int,k:int,i:int,c:string>>").alias("out"), F.lit(0).alias("s"), F.lit(0).alias("i"))
-
-    def place(acc: Column, x: Column) -> Column:
-        s = F.when(x["k"] == 0, acc["s"] + 1).otherwise(acc["s"])
-        item = F.struct(s.alias("s"), x["k"].alias("k"), acc["i"].alias("i"), x["c"].alias("c"))
-        return F.struct(F.concat(acc["out"], F.array(item)).alias("out"), s.alias("s"), (acc["i"] + 1).alias("i"))
-
-    ordered = F.array_sort(F.aggregate(marked, start, place)["out"])
-    # done: text before the open starter; open: it; rest: marks after it; last: class of the last mark kept (-1: none)
-    empty = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), F.lit("").alias("rest"), F.lit(-1).alias("last"))
-
-    def compose(acc: Column, x: Column) -> Column:
-        pair = _look_up("pairs", F.concat(acc["open"], x["c"]))
-        joined = (acc["open"] != "") & pair.isNotNull() & (acc["last"] < x["k"])
-        direct = (acc["open"] != "") & pair.isNotNull() & (x["k"] == 0) & (acc["last"] == -1)
-        return (
-            F.when(joined | direct, F.struct(acc["done"].alias("done"), pair.alias("open"), acc["rest"].alias("rest"), acc["last"].alias("last")))
-            .when(x["k"] == 0, F.struct(F.concat(acc["done"], acc["open"], acc["rest"]).alias("done"), x["c"].alias("open"), F.lit("").alias("rest"), F.lit(-1).alias("last")))
-            .otherwise(F.struct(acc["done"].alias("done"), acc["open"].alias("open"), F.concat(acc["rest"], x["c"]).alias("rest"), x["k"].alias("last")))
-        )
-
-    return F.aggregate(ordered, empty, compose, lambda acc: F.concat(acc["done"], acc["open"], acc["rest"]))
-
-
 def nfkc(text: Column) -> Column:
-    r = unicode_rules()
-    odd = f"[{r['joins']}{r['changed']}]"
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).[{r['joins']}]+|[{r['changed']}]|(?:(?!.[{r['joins']}])[^{r['changed']}])+|."), F.lit(0))
-    slow = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(odd), _nfkc_segment(p)).otherwise(p)), "")
-    ascii_only = F.char_length(text) == F.octet_length(text)
-    return F.when(ascii_only, text).when(text.rlike(f"[^{r['latin']}]") & text.rlike(f"[^{r['plain']}]") & text.rlike(odd), slow).otherwise(text)
+    """NFKC by the ICU library that ships with Spark, called as a SQL function; ASCII texts are their own.
+
+    Spark takes such a call for non-deterministic and so evaluates it once where
+    it stands; ICU's answer depends on the text alone.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(F.char_length(text) == F.octet_length(text), text).otherwise(composed)
 
 
 _WHITE = "\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}"
