@@ -4,7 +4,8 @@ White space outside words never joins pieces in word-level vocabularies, so a
 text's ids are the ids of its words end to end. Words are looked up by hash in
 a bounded memo; only words not met before go to the tokenizer, joined by a
 special token that marks where each ends. Words with ``<|`` may hold special
-strings, whose case counts; they are always tokenised by themselves.
+strings, whose case counts; they are always tokenised by themselves. Words are
+hashed with A-Z folded, so a vocabulary that tells case apart is refused.
 """
 
 from __future__ import annotations
@@ -25,6 +26,13 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def special_words(block: Block) -> np.ndarray:
+    """Numbers of the words that hold ``<|``, rising."""
+    data = block.data
+    odd = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) > 1 else np.zeros(0, np.int64)
+    return np.unique(np.searchsorted(block.starts, odd, "right") - 1) if len(odd) else odd
+
+
 class Pieces:
     """Memo of a worker process: word hash -> ids."""
 
@@ -35,6 +43,9 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        if self.tokenizer.encode(plain, add_special_tokens=False).ids != self.tokenizer.encode(plain.lower(), add_special_tokens=False).ids:
+            raise ValueError(f"{path} tells upper from lower case; its pieces can't be looked up by case-folded words")
         special = {i: t for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word}
         self.mark = max(special, default=None)
         self.mark_text = special[self.mark].content if special else None
@@ -75,9 +86,7 @@ class Pieces:
 
     def look_up(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
         """(distinct hashes' slots, each word's distinct number, (unused), special words with their ids)."""
-        data = block.data
-        odd = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) > 1 else np.zeros(0, np.int64)
-        odd = np.unique(np.searchsorted(block.starts, odd, "right") - 1) if len(odd) else odd
+        data, odd = block.data, special_words(block)
         hashes = block.hashes
         if len(odd):
             hashes = hashes.copy()
@@ -97,16 +106,9 @@ class Pieces:
             special.append((w, np.asarray(ids, self.ids.dtype)))
         return self.slots[k], inverse, distinct, special
 
-    def counts(self, block: Block) -> np.ndarray:
-        """Pieces of each text of the block, without its ids: per-text frequencies of distinct words times their piece counts."""
-        slots, word, distinct, special = self.look_up(block)
-        pieces = self.at[slots + 1] - self.at[slots]
-        pair, times = np.unique(block.doc_of_word() * len(distinct) + word, return_counts=True)
-        doc, word = np.divmod(pair, max(1, len(distinct)))
-        total = np.bincount(doc, weights=times * pieces[word], minlength=block.n).astype(np.int64)
-        for w, ids in special:
-            total[np.searchsorted(block.word_at, w, "right") - 1] += len(ids)
-        return total
+    def one(self, word: bytes) -> int:
+        """Pieces of a word that may hold special strings."""
+        return len(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def tokens(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of each word, ids of all words end to end)."""

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -41,7 +42,7 @@ def test_pieces_are_the_library_s(memo, texts):
     want = [e.ids for e in memo.tokenizer.encode_batch(texts, add_special_tokens=False)]
     counts, ids = [], []
     for b in blocks(pa.array(texts, pa.string()), 64):
-        counts += memo.counts(b).tolist()
+        counts += np.bincount(b.doc_of_word(), weights=memo.tokens(b)[0], minlength=b.n).astype(int).tolist()
         ids += memo.tokens(b)[1].tolist()
     assert counts == [len(w) for w in want] and ids == [i for w in want for i in w]
 
@@ -49,7 +50,7 @@ def test_pieces_are_the_library_s(memo, texts):
 def test_memo_is_bounded(memo, monkeypatch):
     monkeypatch.setattr("fieldlark.llm.pieces.MEMO_WORDS", 50)
     texts = [f"w{i}x w{i % 40} y{i}" for i in range(200)]
-    got = [n for b in blocks(pa.array(texts), 256) for n in memo.counts(b)]
+    got = [n for b in blocks(pa.array(texts), 256) for n in np.bincount(b.doc_of_word(), weights=memo.tokens(b)[0], minlength=b.n).astype(int)]
     assert got == [len(e.ids) for e in memo.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -156,17 +157,31 @@ def test_recall_of_long_items(size, where):
 
 def test_nearest_is_exact():
     rng = np.random.default_rng(7)
-    e = rng.random((300, 20)) * (rng.random((300, 20)) < 0.15)
+    e = rng.random((700, 30)) * (rng.random((700, 30)) < 0.15)
     e = e[e.any(1)]
     e /= np.sqrt((e * e).sum(1, keepdims=True))
-    pad = np.zeros((-len(e) % 64, 20))
-    bound = np.concatenate((e, pad)).reshape(-1, 64, 20).max(1).T.copy()
-    m = X.ToxicityModel(np.arange(20, dtype=np.uint64), np.ones(20), e, np.zeros(len(e)), np.arange(len(e)), bound, 7, np.zeros(0), 0.0)
-    for _ in range(100):
-        t = np.sort(rng.choice(20, rng.integers(1, 5), replace=False))
-        w = m.vector(t, rng.integers(1, 4, len(t)))
-        at, cosine = m.nearest(t, w)
-        all_ = e[:, t] @ w
-        order = np.lexsort((np.arange(len(e)), -all_))[:7]
-        order = order[all_[order] > 0]
-        assert np.allclose(cosine, all_[order]) and (at == order).all()
+    label = rng.integers(0, 2, len(e))
+    index = X.make_index([(np.flatnonzero(r), r[r > 0]) for r in e], label, np.arange(len(e)), 30, 7)
+    assert sorted(index.ids.tolist()) == list(range(len(e))) and (index.label == label[index.ids]).all()
+    e = e[index.ids]
+    for _ in range(200):
+        t = np.sort(rng.choice(30, rng.integers(1, 6), replace=False))
+        w = rng.random(len(t))
+        at, cosine = index.nearest(t, w)
+        every = e[:, t] @ w
+        order = np.lexsort((np.arange(len(e)), -every))[:7]
+        order = order[every[order] > 0]
+        assert np.allclose(cosine, every[order]) and (at == order).all()
+
+
+def test_cased_vocabulary_is_refused():
+    from fieldlark.llm import pieces as P
+
+    cased = [n for n in sorted(os.listdir(os.path.dirname(P.tokenizer_path()))) if n.endswith(".json") and n != P.DEFAULT_TOKENIZER]
+    refused = 0
+    for n in cased:
+        try:
+            P.Pieces(P.tokenizer_path(n))
+        except ValueError:
+            refused += 1
+    assert refused or not cased
