@@ -28,7 +28,7 @@ from fieldlark.llm.near_dedup import near_duplicates
 from fieldlark.llm.packing import pack_documents
 from fieldlark.llm.quality import fit_quality, score_quality
 from fieldlark.llm.span_dedup import remove_repeats
-from fieldlark.session import checkpoint_dir, settled, ship_package
+from fieldlark.session import Steps, checkpoint_dir, delete_path, ship_package
 
 def _prepare(spark: SparkSession, docs: DataFrame) -> DataFrame:
     checkpoint_dir(ship_package(spark))
@@ -59,7 +59,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _prepare(spark, docs)
     keyed, (key, other, kept, place) = _keyed(docs)
     found = near_duplicates(keyed, id_col=key, shingle=5, threshold=80).groupBy(F.col(key).alias(other)).agg(F.max("kept").alias(kept), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
-    found = settled(found.where(~F.col(kept) | (F.col("n") > 1) & (F.col("size") > 0)).select(other, kept))
+    found = Steps(spark).put("found", found.where(~F.col(kept) | (F.col("n") > 1) & (F.col("size") > 0)).select(other, kept))
     alone = keyed.join(found, F.col(key) == F.col(other), "left_anti")
     order = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
     equal = keyed.join(found.where(kept), F.col(key) == F.col(other), "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col(place) == 1)
@@ -104,7 +104,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(spark, before)
         before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
