@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -64,7 +63,13 @@ class Steps:
         """df as written; the name's former table goes."""
         self.n += 1
         path = f"{self.folder}/{self.n}-{name}"
-        df.write.parquet(path)
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, None)
+        self.spark.conf.set(clean, "true")  # what was shuffled to write it goes at once
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(clean, before) if before is not None else self.spark.conf.unset(clean)
         if before := self.paths.pop(name, None):
             delete_path(self.spark, before)
         self.paths[name] = path
@@ -80,16 +85,3 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark knows."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint, after which shuffle files of finished steps go.
-
-    Spark drops them once the driver has collected the plans that made them,
-    which may take as long as a loop of many small steps does.
-    """
-    out = df.checkpoint()
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
