@@ -36,15 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldlark.session import settled
+from fieldlark.operators.graph import components
+from fieldlark.session import Steps
 
 from .blocks import Block, blocks, mix
-from .components import components
 
 BANDS, ROWS, MANTISSA, SMALL = 40, 5, 10, 250
 BUCKETS = BANDS * ROWS
 HUBS = 2
-RARITY_BITS = 18  # members are counted in 2**18 cells, the most the driver holds
 _rng = np.random.Generator(np.random.PCG64(71))
 _A = _rng.integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, BUCKETS, dtype=np.uint64)
@@ -120,15 +119,15 @@ def _sets_of(batches: Iterator[pa.RecordBatch], column: int, shingle: int) -> It
             yield batch.slice(block.first, block.n), shingle_sets(block, shingle)
 
 
-def _signatures(shingle: int, threshold: int, name: str) -> Callable:
+def _signatures(shingle: int, threshold: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in _sets_of(batches, 1, shingle):
             hashes = [set_hash(s) for s in sets]
             small = [small_signature(s).tobytes() if 0 < len(s) <= SMALL * 100 // threshold + 1 else None for s in sets]
             large = [large_signature(s).tobytes() if len(s) >= SMALL else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), pa.array(small, pa.binary()), pa.array(large, pa.binary())],
-                names=[name, "n_shingles", "h1", "h2", "small", "large"],
+                [rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), pa.array(small, pa.binary()), pa.array(large, pa.binary())],
+                names=["id", "t", "n_shingles", "h1", "h2", "small", "large"],
             )
 
     return run
@@ -142,13 +141,13 @@ def _band_keys() -> Column:
     return F.concat(of("small"), of("large"))
 
 
-def _hub_pairs(shared: DataFrame) -> DataFrame:
+def _hub_pairs(shared: DataFrame, steps: Steps) -> DataFrame:
     """Pairs (a, b), a < b: each node with the HUBS hubs that it shares most buckets with. shared: (key, node, central).
 
     A bucket's hub is its most central node (the one with most mates over all
     its buckets): the original of many edited copies is most central.
     """
-    hubs = shared.groupBy("key").agg(F.min_by("node", F.struct((-F.col("central")).alias("c"), F.xxhash64("node").alias("x"))).alias("hub"))
+    hubs = steps.put("hubs", shared.groupBy("key").agg(F.min_by("node", F.struct((-F.col("central")).alias("c"), F.xxhash64("node").alias("x"))).alias("hub")))
     met = shared.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
     best = Window.partitionBy("node").orderBy(F.col("times").desc(), F.xxhash64("hub"))
     top = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
@@ -183,8 +182,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFram
 
 def _members(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(node, members): full sets of the nodes, made from their texts again."""
-    need = classes.select("node", "first_id", "h1", "h2").join(nodes, "node", "left_semi")
-    texts = docs.join(need, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "h1", "h2", "text")
+    need = classes.select("node", "first", "h1", "h2").join(nodes, "node", "left_semi")
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))  # equal ids with other texts don't meet
+    texts = docs.join(need, own).select("node", "h1", "h2", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in _sets_of(batches, 3, shingle):
@@ -195,44 +195,35 @@ def _members(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
     return texts.mapInArrow(sets, "node long, members binary").dropDuplicates(["node"])
 
 
-def _meeting(nodes: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components whose rarest members meet. nodes: (node, component)."""
-    cells = 1 << RARITY_BITS
+def _meeting(nodes: DataFrame, members: DataFrame, threshold: int, steps: Steps) -> DataFrame:
+    """Pairs (a, b) of nodes of different components whose rarest members meet. nodes: (node, component).
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for batch in batches:
-            for v in batch.column(0):
-                np.add.at(total, (np.frombuffer(v.as_buffer(), np.uint64) >> _U(64 - RARITY_BITS)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
-
-    found = members.select("members").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(cells, np.int64)
-    often[found["cell"].to_numpy()] = found["n"].to_numpy()
-    shared = members.sparkSession.sparkContext.broadcast(often)  # 2 MB
+    A node's members are ranked by how many nodes have them, counted exactly
+    (map-side first; ties by hash).
+    """
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, component, size, member, place = [], [], [], [], []
-            for i, c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                s = np.frombuffer(v.as_buffer(), np.uint64)
-                n = len(s)
-                first = s[np.lexsort((s, shared.value[(s >> _U(64 - RARITY_BITS)).astype(np.int64)]))[: n - -(-n * threshold // 100) + 1]]
-                member.append(first.view(np.int64))
-                place.append(np.arange(len(first)))
-                for to, x in ((node, i), (component, c), (size, n)):
-                    to.append(np.full(len(first), x, np.int64))
-            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (node, component, size, member, place)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["node", "component", "n", "member", "place"])
-
-    rare = nodes.join(members, "node").select("node", "component", "members").mapInArrow(rarest, "node long, component long, n long, member long, place long").checkpoint()
-    mixed = rare.groupBy("member").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("member")
-    left = settled(rare.join(mixed, "member"))
-    right = left.select("member", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("other"))
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                sets = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(2)]
+                size = np.array([len(s) for s in sets], np.int64)
+                at = np.repeat(np.arange(len(sets)), size)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(size[at]), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["node", "component", "n", "member"])
+
+    every = nodes.join(members, "node").select("node", "component", "members").mapInArrow(apart, "node long, component long, n long, member long")
+    seen = every.groupBy("member").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = steps.put("mixed", seen.where("low < high").select("member", "often"))
+    # members of one component alone come first in the order: they take places, but no one meets there
+    whole = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("often", "member")) - 1
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    placed = every.join(mixed, "member").withColumn("place", place).where(F.col("place") < prefix)
+    left = steps.put("rare", placed.select("member", "component", F.col("node").alias("a"), "n", "place"))
+    right = left.select("member", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("other"))
     # the first member that linked sets share leaves enough others behind it in both
     near_size = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) * (100 + threshold) >= (F.col("n") + F.col("n_b")) * threshold
-    return left.withColumnRenamed("node", "a").join(right, "member").where((F.col("component") != F.col("other")) & (F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
+    return left.join(right, "member").where((F.col("component") != F.col("other")) & (F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
@@ -259,32 +250,39 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id is the least id that links reach, kept whether it is the row's own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = settled(docs.mapInArrow(_signatures(shingle, threshold, "id"), f"id {kind}, n_shingles long, h1 long, h2 long, small binary, large binary"))
-    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"))
-    classes = settled(classes.withColumn("node", F.monotonically_increasing_id()))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    steps = Steps(docs.sparkSession)
+    rows = steps.put("rows", docs.mapInArrow(_signatures(shingle, threshold), f"id {kind}, t long, n_shingles long, h1 long, h2 long, small binary, large binary"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
+    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(first, F.max("n_shingles").alias("n"), F.first("small").alias("small"), F.first("large").alias("large"))
+    classes = steps.put("classes", classes.orderBy("first").withColumn("node", F.monotonically_increasing_id()))  # the least node of a component has its least id
 
     bands = classes.select("node", F.explode(_band_keys()).alias("key"))
-    shared = settled(bands.join(bands.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"), "key").select("key", "node", "mates"))
-    central = shared.groupBy("node").agg(F.sum("mates").alias("central"))
-    shared = settled(shared.select("key", "node").join(central, "node"))
-    pairs = settled(_hub_pairs(shared))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    likely = settled(_estimated(pairs, classes, threshold))
-    links = settled(_confirmed(likely, _members(ends, classes, docs, shingle), threshold))
+    keys = steps.put("keys", bands.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"))
+    shared = steps.put("met", bands.join(keys, "key"))
+    shared = steps.put("shared", shared.select("key", "node").join(shared.groupBy("node").agg(F.sum("mates").alias("central")), "node"))
+    steps.drop("met")
+    pairs = steps.put("pairs", _hub_pairs(shared, steps))
+    likely = steps.put("likely", _estimated(pairs, classes, threshold))
+    ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    members = steps.put("members", _members(ends, classes, docs, shingle))
+    links = steps.put("links", _confirmed(likely, members, threshold))
 
     # classes of different components in one bucket
-    grouped = settled(shared.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-    mixed = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_nodes = settled(grouped.join(mixed, "key").select("node", "component").distinct())
-    members = settled(_members(open_nodes, classes, docs, shingle))
-    cross = _meeting(open_nodes, members, threshold).join(pairs, ["a", "b"], "left_anti")
-    more = _confirmed(settled(_estimated(cross, classes, threshold)), members, threshold)
-    links = settled(links.union(more))
-
-    named = classes.join(components(links), "node", "left").select("h1", "h2", "first_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "component").select("h1", "h2", "component_id")
-    out = rows.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    grouped = steps.put("grouped", shared.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    steps.drop("shared")
+    keys = steps.put("keys", grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    apart = steps.put("apart", grouped.join(keys, "key").select("node", "component").distinct())
+    members = steps.put("members", _members(apart.select("node"), classes, docs, shingle))
+    cross = _meeting(apart, members, threshold, steps).join(pairs, ["a", "b"], "left_anti")
+    more = _confirmed(steps.put("likely", _estimated(cross, classes, threshold)), members, threshold)
+    links = steps.put("all_links", links.union(more))
+
+    named = classes.select("node", "h1", "h2").join(components(links), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    named = steps.put("named", named).join(classes.select(F.col("node").alias("component"), F.col("first.id").alias("component_id")), "component")
+    out = rows.select("id", "n_shingles", "h1", "h2").join(named.select("h1", "h2", "component_id"), ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    out = steps.put("out", out)
+    steps.drop(*(n for n in list(steps.paths) if n != "out"))
+    return out
