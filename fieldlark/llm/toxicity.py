@@ -1,22 +1,27 @@
 """Toxicity by the nearest labelled examples, exact TF-IDF cosine.
 
-Terms are words and word beginnings of 4 to 8 bytes (so that inflected and
-disguised forms meet), ASCII-lower-cased and without punctuation at their ends.
-The vocabulary is what tells the classes of a bounded labelled sample apart;
-document frequencies are counted over all documents. Examples form an inverted
-index in blocks with the largest weight of every (term, block); a text visits
-blocks by falling bound until its k-th cosine reaches the next bound, so the k
-nearest are exact. The similarity-weighted vote, calibrated by a logistic fit
-on labelled rows outside the index, is the score; the neighbours are its
-evidence.
+Terms are words, ASCII-lower-cased and without punctuation at their ends. All
+terms of a bounded labelled sample count, whatever their class or frequency. A
+term's weight is its inverse document frequency over all documents times
+``floor + z ** 2``; z says how surely it is likelier in toxic examples (log odds
+over their standard error, with ``prior`` pseudo-counts, as a share of the
+surest term's; 0 if it leans to the other class). So a word that tells the
+classes apart outweighs topic and language without a cut between terms.
+
+Examples form an inverted index: a posting list per term, by blocks of examples
+with the largest weight of every (term, block). A text visits blocks by falling
+bound until its k-th cosine reaches the next bound, so the k nearest are exact.
+The cosine-weighted vote, calibrated by a logistic fit on votes of examples by
+an index that lacks their half of the sample, is the score; the neighbours are
+its evidence.
 
 The fit holds ``per_class`` labelled rows on the driver; the frequency count is
-one pass that returns a number per term; scoring is one pass without a shuffle.
-Labels, language, source and id are no inputs of a score. Null and empty texts
-and texts without any term get the share of toxic rows among labelled rows
-without any term; without training rows of both classes every score is the base
-rate (0 if there is none). Ties of cosine go to the earlier example. Repeated
-rows score each; an empty table gives no row; other columns are left out.
+one pass that returns a number per term of the sample; scoring is one pass
+without a shuffle. Labels, language, source and id are no inputs of a score.
+Null and empty texts and texts without any known term get the base rate of the
+training rows, as do all texts where training rows of both classes lack
+(0 if there are none). Ties of cosine go to the earlier example. Repeated rows
+score each; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,82 +34,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks
+from .blocks import Block, blocks, ragged
 from .models import fit_logistic, held_out_of, labelled_sample, logistic
 
-PREFIXES = (4, 5, 6, 7, 8)
 _MARKS = np.zeros(256, bool)
 _MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _INDEX_BLOCK = 64
 
 
-def terms(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(term hashes, word numbers), a pair of arrays for each kind of term."""
+def terms(block: Block) -> np.ndarray:
+    """Hash of each word of the block."""
     s, e = block.starts.copy(), block.ends.copy()
     for _ in range(4):
         s[(s < e - 1) & _MARKS[block.data[s]]] += 1
         e[(s < e - 1) & _MARKS[block.data[e - 1]]] -= 1
-    yield block.span_hash(s, e), np.arange(len(s))
-    for n in PREFIXES:
-        long = np.flatnonzero(e - s > n)
-        yield block.span_hash(s[long], s[long] + n) ^ np.uint64(n), long
+    return block.span_hash(s, e)
 
 
 def counts(block: Block, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, times) of the vocabulary's terms, texts rising. vocabulary: sorted hashes."""
     if not len(vocabulary):
         return (np.zeros(0, np.int64),) * 3
-    found, doc = [], block.doc_of_word()
-    for h, w in terms(block):
-        k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        hit = vocabulary[k] == h
-        found.append(doc[w[hit]] * len(vocabulary) + k[hit])
-    pair, times = np.unique(np.concatenate(found), return_counts=True)
+    h = terms(block)
+    k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    hit = vocabulary[k] == h
+    pair, times = np.unique(block.doc_of_word()[hit] * len(vocabulary) + k[hit], return_counts=True)
     text, term = np.divmod(pair, len(vocabulary))
     return text, term, times
 
 
 @dataclass
-class ToxicityModel:
-    vocabulary: np.ndarray
-    idf: np.ndarray
-    example: np.ndarray  # matrix, a row of unit length per example, in index order
+class Index:
+    """Posting lists in (term, example) order; a run holds the postings of a term in one block of examples."""
+
     label: np.ndarray
     ids: np.ndarray
-    bound: np.ndarray  # terms x blocks
+    of_term: np.ndarray  # terms + 1 offsets into runs
+    block: np.ndarray  # of each run
+    top: np.ndarray  # largest weight of each run
+    run: np.ndarray  # runs + 1 offsets into postings
+    example: np.ndarray
+    weight: np.ndarray
     k: int
-    weights: np.ndarray
-    base: float
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest, block by block by falling bound."""
-        upper = weight @ self.bound[term]
+        n = self.of_term[term + 1] - self.of_term[term]
+        runs, w = ragged(self.of_term[term], n), np.repeat(weight, n)
+        upper = np.bincount(self.block[runs], weights=w * self.top[runs])
         order = np.argsort(-upper, kind="stable")
         at, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for n in range(0, len(order), 4):
-            group = order[n : n + 4]
-            if upper[group[0]] <= 0 or len(at) == self.k and upper[group[0]] < cosine[-1] - 1e-12:
-                break
-            rows = (group[:, None] * _INDEX_BLOCK + np.arange(_INDEX_BLOCK)).ravel()
-            rows = rows[rows < len(self.label)]
-            c = self.example[np.ix_(rows, term)] @ weight
-            at, cosine = np.concatenate((at, rows[c > 0])), np.concatenate((cosine, c[c > 0]))
+        done, step = 0, 4
+        while done < len(order) and upper[order[done]] > 0 and not (len(at) == self.k and upper[order[done]] < cosine[-1] - 1e-9):
+            now = np.zeros(len(upper), bool)
+            now[order[done : done + step]] = True
+            done, step = done + step, step * 4
+            use = np.flatnonzero(now[self.block[runs]])
+            size = self.run[runs[use] + 1] - self.run[runs[use]]
+            place = ragged(self.run[runs[use]], size)
+            c = np.bincount(self.example[place], weights=self.weight[place] * np.repeat(w[use], size))
+            some = np.flatnonzero(c > 0)
+            at, cosine = np.concatenate((at, some)), np.concatenate((cosine, c[some]))
             best = np.lexsort((at, -cosine))[: self.k]
             at, cosine = at[best], cosine[best]
         return at, cosine
 
-    def vector(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(times)) * self.idf[term]
-        return w / np.sqrt((w * w).sum())
 
-    def vote(self, cosine: np.ndarray, label: np.ndarray, norm: float) -> np.ndarray:
-        w = cosine**2
-        share = (w @ label) / max(w.sum(), 1e-12)
-        return np.array([share, share * cosine[0], cosine.mean(), norm])
+def make_index(vectors: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, ids: np.ndarray, n_terms: int, k: int) -> Index:
+    """vectors: (terms, weights) of each example; examples are put in order of their heaviest term, so like ones share blocks."""
+    heaviest = np.array([t[w.argmax()] for t, w in vectors])
+    order = np.lexsort((np.arange(len(vectors)), -label, heaviest))
+    vectors = [vectors[i] for i in order]
+    size = [len(t) for t, _ in vectors]
+    term, weight = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+    example = np.repeat(np.arange(len(vectors)), size)
+    by = np.lexsort((example, term))
+    term, weight, example = term[by], weight[by], example[by]
+    block = example // _INDEX_BLOCK
+    first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+    return Index(label[order].astype(float), ids[order], np.searchsorted(term[first], np.arange(n_terms + 1)), block[first], np.maximum.reduceat(weight, first), np.append(first, len(term)), example, weight, k)
+
+
+@dataclass
+class ToxicityModel:
+    vocabulary: np.ndarray  # sorted hashes
+    weight: np.ndarray  # of terms
+    index: Index | None
+    calibration: np.ndarray
+    base: float
+
+    def vector(self, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+        """(weights of unit length, length before)."""
+        w = (1 + np.log(times)) * self.weight[term]
+        norm = float(np.sqrt((w * w).sum()))
+        return w / norm, norm
+
+    def vote(self, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(features, examples, cosines)."""
+        w, norm = self.vector(term, times)
+        at, cosine = self.index.nearest(term, w)
+        share = (cosine @ self.index.label[at]) / max(cosine.sum(), 1e-12)
+        return np.array([share, share * np.log1p(norm), cosine.mean() if len(at) else 0.0, np.log1p(norm)]), at, cosine
 
 
-def _weigh(term: np.ndarray, times: np.ndarray, idf: np.ndarray) -> float:
-    return float(np.log1p(((1 + np.log(times)) * idf[term]).sum()))
+def term_weights(vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, idf: np.ndarray, prior: float, floor: float) -> np.ndarray:
+    has = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for (t, _), c in zip(vectors, y) if c == k)]), minlength=len(idf)) for k in (0, 1)]
+    odds = [np.log((h + prior) / ((y == k).sum() - h + prior)) for k, h in enumerate(has)]
+    z = (odds[1] - odds[0]) / np.sqrt(1 / (has[0] + prior) + 1 / (has[1] + prior))
+    z = np.maximum(z, 0)
+    return idf * (floor + (z / max(z.max(), 1.0)) ** 2)  # relative, so that it doesn't grow with the sample
 
 
 def _split(text: np.ndarray) -> list[slice]:
@@ -112,77 +150,60 @@ def _split(text: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 3000, max_bytes: int = 65_536, vocabulary: int = 512, ratio: float = 8.0, least_share: float = 0.012, k: int = 9) -> ToxicityModel:
-    """per_class, max_bytes: bounds of the labelled sample; vocabulary: most terms; ratio, least_share: least odds of a term between the classes and least share of toxic texts with it."""
-    sample, sizes = labelled_sample(docs, labels, label, per_class=per_class, max_bytes=max_bytes)
-    total = sum(sizes.values())
-    base = sizes.get(1, 0) / total if total else 0.0
-    texts, y = [t.decode() for _, t, _ in sample], np.array([c for _, _, c in sample], np.int64)
-    empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros((0, 0)), k, np.zeros(0), base)
-    if not (0 < y.sum() < len(y)):
-        return empty
-    seen = [[], []]
-    for block in blocks(pa.array(texts)):
-        doc = block.doc_of_word()
-        both = np.concatenate([np.column_stack((doc[w].astype(np.uint64), h)) for h, w in terms(block)])
-        both = np.unique(both, axis=0) if len(both) < 1000 else both[np.concatenate(([True], np.any(np.diff(both := both[np.lexsort((both[:, 1], both[:, 0]))], axis=0), axis=1)))]
-        kind = y[block.first + both[:, 0].astype(np.int64)]
-        for c in (0, 1):
-            seen[c].append(both[kind == c, 1])
-    n = np.array([(y == 0).sum(), (y == 1).sum()])
-    all_terms, where = np.unique(np.concatenate(seen[0] + seen[1]), return_inverse=True)
-    cut = sum(map(len, seen[0]))
-    clean, toxic = (np.bincount(w, minlength=len(all_terms)) for w in (where[:cut], where[cut:]))
-    p, q = toxic / n[1], clean / n[0]
-    pick = np.flatnonzero((toxic >= max(3, least_share * n[1])) & (p >= ratio * (q + 0.5 / n[0])))
-    pooled = (toxic + clean)[pick] / n.sum()
-    gain = (p - q)[pick] ** 2 / np.maximum(pooled * (1 - pooled), 1e-9)
-    pick = pick[np.lexsort((all_terms[pick], -gain))[:vocabulary]]
-    terms_kept = np.sort(all_terms[pick])
-    if not len(terms_kept):
-        return empty
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """(documents with each term, documents)."""
 
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(terms_kept), np.int64), 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for block in blocks(batch.column(0)):
-                df += np.bincount(counts(block, terms_kept)[1], minlength=len(terms_kept))
+                df += np.bincount(counts(block, vocabulary)[1], minlength=len(vocabulary))
                 rows += block.n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df) + 1)), pa.array(np.append(df, rows))], names=["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, len(df))), pa.array(np.append(df[some], rows))], names=["term", "n"])
 
-    summed = {r.term: r.n for r in docs.select("text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([summed.get(t, 0) for t in range(len(terms_kept) + 1)], float)
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return df[:-1], int(df[-1])
 
-    model = ToxicityModel(terms_kept, idf, np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros((0, 0)), k, np.zeros(0), base)
-    vectors: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
-    for block in blocks(pa.array(texts)):
-        text, term, times = counts(block, terms_kept)
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 1500, max_bytes: int = 65_536, k: int = 25, prior: float = 2.0, floor: float = 0.0001) -> ToxicityModel:
+    """per_class, max_bytes: bounds of the labelled sample; prior, floor: of the term weights."""
+    sample, sizes = labelled_sample(docs, labels, label, per_class=per_class, max_bytes=max_bytes)
+    total = sum(sizes.values())
+    base = sizes.get(1, 0) / total if total else 0.0
+    empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), None, np.zeros(0), base)
+    if len({c for _, _, c in sample}) < 2:
+        return empty
+    texts = pa.array([t.decode() for _, t, _ in sample])
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(terms(b)) for b in blocks(texts))]))
+    vectors: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(sample)
+    for block in blocks(texts):
+        text, term, times = counts(block, vocabulary)
         for s in _split(text):
             vectors[block.first + int(text[s.start])] = (term[s], times[s])
     some = [i for i, v in enumerate(vectors) if v]
-    index = [i for i in some if i % 2 == 0]
-    if not index or not y[index].any():
+    y, ids, vectors = np.array([sample[i][2] for i in some]), np.array([sample[i][0] for i in some]), [vectors[i] for i in some]
+    halves = [np.arange(h, len(some), 2) for h in (0, 1)]  # in hash order of the id
+    if any(len(set(y[h].tolist())) < 2 for h in halves):
         return empty
-    dense = np.zeros((len(index), len(terms_kept)))
-    for r, i in enumerate(index):
-        dense[r, vectors[i][0]] = model.vector(*vectors[i])
-    order = np.lexsort((np.arange(len(index)), dense.argmax(1)))  # like examples share blocks
-    model.example, model.label, model.ids = dense[order], y[index][order].astype(float), np.array([sample[i][0] for i in index])[order]
-    pad = np.zeros((-len(index) % _INDEX_BLOCK, len(terms_kept)))
-    model.bound = np.concatenate((model.example, pad)).reshape(-1, _INDEX_BLOCK, len(terms_kept)).max(1).T.copy()
-    weight = np.where(y == 1, sizes[1] / n[1], sizes[0] / n[0])  # classes as in all training rows
-    none = [i for i, v in enumerate(vectors) if not v]
-    model.base = float((weight[none] * y[none]).sum() / weight[none].sum()) if none else base
-    held, x = [], []
-    for i in some:
-        if i % 2:
-            at, cosine = model.nearest(vectors[i][0], model.vector(*vectors[i]))
-            if len(at):
-                held.append(i)
-                x.append(model.vote(cosine, model.label[at], _weigh(*vectors[i], idf)))
-    if held:
-        model.weights = fit_logistic(np.array(x), y[held].astype(float), weight[held] / weight[held].mean(), 0.05)
+    df, rows = _frequencies(docs, vocabulary)
+    idf = np.log((rows + 1) / (df + 1)) + 1
+
+    def indexed(of: np.ndarray) -> ToxicityModel:
+        model = ToxicityModel(vocabulary, term_weights([vectors[i] for i in of], y[of], idf, prior, floor), None, np.zeros(0), base)
+        model.index = make_index([(vectors[i][0], model.vector(*vectors[i])[0]) for i in of], y[of], ids[of], len(vocabulary), k)
+        return model
+
+    x = np.zeros((len(some), 4))
+    for mine, others in (halves, halves[::-1]):
+        model = indexed(others)
+        for i in mine:
+            x[i] = model.vote(*vectors[i])[0]
+    model = indexed(np.arange(len(some)))
+    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())  # classes as in all training rows
+    model.calibration = fit_logistic(x, y.astype(float), weight / weight.mean(), 0.05)
     return model
 
 
@@ -199,10 +220,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float =
                 text, term, times = counts(block, model.vocabulary)
                 for s in _split(text):
                     i = block.first + int(text[s.start])
-                    at, cosine = model.nearest(term[s], model.vector(term[s], times[s]))
-                    if len(at) and len(model.weights):
-                        score[i] = logistic(model.vote(cosine, model.label[at], _weigh(term[s], times[s], model.idf))[None], model.weights)[0]
-                        near[i], far[i] = model.ids[at].tolist(), cosine.tolist()
+                    x, at, cosine = model.vote(term[s], times[s])
+                    score[i] = logistic(x[None], model.calibration)[0]
+                    near[i], far[i] = model.index.ids[at].tolist(), cosine.tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(held_out_of(batch.column(0).to_pylist())), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64()))], names=names
             )

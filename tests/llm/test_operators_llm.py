@@ -6,11 +6,13 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldlark.llm import queries as Q
 from fieldlark.llm.decontamination import find_leaks
+from fieldlark.llm.blocks import blocks
 from fieldlark.llm.fingerprints import fingerprint_documents, nfkc
 from fieldlark.llm.near_dedup import near_duplicates
 from fieldlark.llm.packing import pack_documents
@@ -206,7 +208,7 @@ def test_long_shared_passages_of_the_table(spark, sf_dir, texts):
 def test_span_rules(spark):
     p = "Alpha beta gamma delta one two. Epsilon zeta eta theta three four. Iota kappa lambda mu five six."
     rows = [(2, f"Start here now. {p} End of it."), (1, p), (3, "Nothing shared in this one at all, my friend. Really nothing is shared."), (None, p), (4, f"{p} {p}")]
-    got = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=10).collect()}
     assert got == {1: p, 2: "Start here now. End of it.", 3: rows[2][1], None: "", 4: ""}
 
 
@@ -222,6 +224,36 @@ def test_op5_and_op8_held_out(spark, sf_dir):
         assert hits[1, 1] / (hits[1, 1] + hits[1, 0]) > 0.9 and hits[0, 0] / (hits[0, 0] + hits[0, 1]) > 0.85
 
 
+def test_op8_against_brute_force(spark, sf_dir):
+    """Every row's neighbours, cosines and score against dense cosines with all examples."""
+    from fieldlark.llm.models import logistic
+    from fieldlark.llm.toxicity import counts
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_toxicity(docs, labels)
+    x = model.index
+    dense = np.zeros((len(x.label), len(model.vocabulary)))
+    term_of_run = np.repeat(np.arange(len(model.vocabulary)), np.diff(x.of_term))
+    dense[x.example, np.repeat(term_of_run, np.diff(x.run))] = x.weight
+    assert np.allclose((dense**2).sum(1), 1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in score_toxicity(docs, model).collect():
+        (block,) = blocks(pa.array([texts[r.doc_id] or ""]), 1 << 30)
+        _, term, times = counts(block, model.vocabulary)
+        if not len(term):
+            assert r.score == model.base and not r.neighbours
+            continue
+        w = (1 + np.log(times)) * model.weight[term]
+        norm = np.sqrt((w * w).sum())
+        every = dense[:, term] @ (w / norm)
+        top = np.sort(every[every > 0])[::-1][: x.k]
+        assert np.allclose(r.cosines, top)
+        at = [int(np.flatnonzero(x.ids == i)[0]) for i in r.neighbours]
+        assert np.allclose(every[at], top) and len(set(at)) == len(at)
+        share = (top @ x.label[at]) / top.sum()
+        assert math.isclose(r.score, logistic(np.array([[share, share * np.log1p(norm), top.mean(), np.log1p(norm)]]), model.calibration)[0], abs_tol=1e-9)
+
+
 def test_op6(spark, sf_dir, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     want = {(i, k) for i, t in texts.items() for k, x in items.items() if x in (t or "")}
