@@ -5,7 +5,10 @@ at the end of the text; a stretch of over LONG words without such an end is cut
 by winnowing, after the least word hash (the first of equal ones) of every WINDOW
 words in a row. So there is a cut in every WINDOW words, equal stretches are cut
 alike but for WINDOW - 1 words at their ends, and any 50 words that two documents
-share have a run in common if their sentences end alike. From each sentence a run goes on until it has ``min_sentences`` and
+share have a run in common if their sentences end alike: less than LONG words to
+the first cut, then less than ``min_words`` and one more sentence of at most
+LONG. Twenty words are the most for which this holds; shorter runs are phrases
+that clean texts share. From each sentence a run goes on until it has ``min_sentences`` and
 ``min_words``; its 128-bit hash covers its words, ASCII case folded. A run
 belongs to the document with the least id that has it (and there to its first
 place); every sentence that any other occurrence covers is removed.
@@ -129,7 +132,7 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, min_sentences: in
     return runs.join(firsts, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("h1").alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 10, keep_columns: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20, keep_columns: bool = False) -> DataFrame:
     """(id, text, n_sentences, n_removed, removed): text without repeated runs; keep_columns: and the other columns of docs.
 
     removed: the (start, stop) UTF-8 byte spans taken out of the old text, in order.
