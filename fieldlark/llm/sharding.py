@@ -8,7 +8,8 @@ partition permutes the resulting labels over its rows, rows are exchanged by
 bounded size, and placed end to end.
 
 The matrix has a row per input partition and is the only thing the driver
-holds. Labels depend on (seed, partition, row in partition) alone, so a lost
+holds; offsets of parts are broadcast up to BROADCAST_PARTS and joined beyond.
+Labels depend on (seed, partition, row in partition) alone, so a lost
 task makes the same ones again.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BROADCAST_PARTS = 65_536
 _ROW_BITS = 33  # of monotonically_increasing_id
 
 
@@ -76,7 +78,7 @@ def shard_rows(docs: DataFrame, *, shards: int = 8, seed: int = 20240229, part_r
     rows = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
     matrix = communication_matrix(rows, shards, seed)
     total = sum(rows)
-    parts = max(1, min(65_536 // shards, -(-total // (shards * part_rows))))
+    parts = max(1, -(-total // (shards * part_rows)))
 
     @F.pandas_udf("int")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,5 +106,5 @@ def shard_rows(docs: DataFrame, *, shards: int = 8, seed: int = 20240229, part_r
     offsets = sizes.select("shard", part, (F.sum("n").over(Window.partitionBy("shard").orderBy(part)) - F.col("n")).alias(first))
     order = Window.partitionBy("shard", part).orderBy(draw, row)
     placed = dealt.withColumn("slot", F.row_number().over(order).cast("long"))
-    placed = placed.join(F.broadcast(offsets), ["shard", part])  # 65,536 rows at most
+    placed = placed.join(F.broadcast(offsets) if shards * parts <= BROADCAST_PARTS else offsets, ["shard", part])
     return placed.select(*docs.columns, "shard", (F.col("slot") - 1 + F.col(first)).alias("slot"))

@@ -275,3 +275,11 @@ def test_op9(spark, sf_dir, texts):
     deals = spark.range(4000).repartition(5)
     first = [r.shard for r in shard_rows(deals, shards=4, part_rows=300).where("id < 400").collect()]
     assert all(abs(n - 100) < 45 for n in collections.Counter(first).values()) and math.isclose(len(first), 400)
+
+
+def test_op9_offsets_by_join(spark, monkeypatch):
+    monkeypatch.setattr("fieldlark.llm.sharding.BROADCAST_PARTS", 0)
+    per = collections.defaultdict(list)
+    for r in shard_rows(spark.range(5000).repartition(3), shards=4, part_rows=100).collect():
+        per[r.shard].append(r.slot)
+    assert len(per) == 4 and all(sorted(s) == list(range(1250)) for s in per.values())
