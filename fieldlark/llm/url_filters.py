@@ -7,10 +7,14 @@ its date until the next one's (validity intervals). An as-of join evaluates a
 capture against the entries in force when it was fetched; of those the longest
 host wins, then the longest path, then the latest date.
 
-The list meets distinct hosts only (summed map-side), and captures meet their
-host's entries, so a host with a third of all captures is one key with few rows
-on the other side, which the engine's skew join splits. A list of at most
-``BROADCAST_ENTRIES`` is broadcast.
+Each distinct (host, path, time) is judged once. It is laid out as keys: every
+ending of its host that is listed, with the path's beginnings of the lengths
+which that listed host has. Keys meet entries by equality of host and path, so
+a host of a million listed paths costs a capture no more than its own path's
+beginnings, and no row holds a host's whole list. Captures are dealt by host,
+path and time together: a host with a third of all captures spreads over its
+paths and days. A list of at most ``BROADCAST_ENTRIES`` is broadcast; beyond
+that the same joins shuffle, and the engine's skew join splits hot endings.
 
 A null, empty or unparseable URL has host "" and is kept, as is a capture
 without a fetch time; entries with a null host, date or action are left out; a
@@ -55,6 +59,11 @@ def list_entries(spark: SparkSession, entries: tuple = PRODUCTION_LIST) -> DataF
     return spark.sql(f"SELECT host, path, CAST(since AS DATE) AS since, action, category FROM VALUES {rows} AS list(host, path, since, action, category)")
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a CSV file or folder with a header line: host, path, since (yyyy-MM-dd), action, category."""
+    return spark.read.csv(path, header=True, schema="host string, path string, since date, action string, category string")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(host, path, since, until, action, category): when each entry holds; ``end`` entries are gone."""
     clean = entries.where("host is not null and since is not null and action is not null").select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "since", "action", F.coalesce("category", F.lit("")).alias("category"))
@@ -79,27 +88,27 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col: str = "url"
     All columns are kept; columns of those names are replaced.
     """
     added = ("host", "decision", "category", "rule")
-    base = captures.drop(*(c for c in captures.columns if c.lower() in added))
-    base = base.withColumn("host", host_of(F.col(url_col)))
-    in_force = intervals(entries)
+    rest = [c for c in captures.columns if c.lower() not in added]
+    base = captures.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(time_col).alias("at"))
+    in_force = intervals(entries).withColumnRenamed("host", "listed")
+    few = in_force.select(F.count(F.lit(1)).alias("n")).first()["n"] <= BROADCAST_ENTRIES
+    small = F.broadcast if few else (lambda df: df)
+    lengths = in_force.groupBy("listed").agg(F.collect_set(F.length("path")).alias("lengths"))  # at most one per length of a path
     labels = F.split("host", r"\.")
-    hosts = base.select("host").distinct().where("host <> ''")
-    above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("listed"))
-    in_force = in_force.withColumnRenamed("host", "listed")
-    few = in_force.select(F.count(F.lit(1))).first()[0] <= BROADCAST_ENTRIES
-    met = above.join(F.broadcast(in_force) if few else in_force, "listed")
-    item = F.struct(F.length("listed").alias("l"), F.length("path").alias("p"), "since", "until", "action", "category", "listed", "path")
-    rules = met.groupBy("host").agg(F.collect_list(item).alias("list_rules")).withColumnRenamed("host", "rules_host")
-    joined = base.join(rules, F.col("host") == F.col("rules_host"), "left")
-    path, at = path_of(F.col(url_col)), F.col(time_col)
-    hits = F.filter("list_rules", lambda r: (r["since"] <= at) & (r["until"].isNull() | (at < r["until"])) & path.startswith(r["path"]))
-    best = F.array_max(hits)
-    return joined.select(
-        *(F.col(c) for c in base.columns if c != "host"),
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = base.select("host", "path", "at").where("host <> '' and at is not null").distinct()
+    under = asked.withColumn("listed", F.explode(endings)).join(small(lengths), "listed")
+    keys = under.withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length("path"))
+    keys = keys.select("host", F.col("path").alias("whole"), "at", "listed", F.substring("path", F.lit(1), F.col("n")).alias("path"))
+    held = keys.join(small(in_force), ["listed", "path"]).where("since <= at and (until is null or at < until)")
+    item = F.struct(F.length("listed").alias("l"), F.length("path").alias("p"), "since", "action", "category", "listed", "path")
+    best = held.groupBy("host", "whole", "at").agg(F.max(item).alias("best")).withColumnRenamed("whole", "path")
+    return base.join(best, ["host", "path", "at"], "left").select(
+        "row.*",
         "host",
-        F.when(best["action"] == "block", "drop").otherwise("keep").alias("decision"),
-        best["category"].alias("category"),
-        F.concat(best["listed"], best["path"]).alias("rule"),
+        F.when(F.col("best.action") == "block", "drop").otherwise("keep").alias("decision"),
+        F.col("best.category").alias("category"),
+        F.concat("best.listed", "best.path").alias("rule"),
     )
 
 

@@ -283,3 +283,32 @@ def test_op9_offsets_by_join(spark, monkeypatch):
     for r in shard_rows(spark.range(5000).repartition(3), shards=4, part_rows=100).collect():
         per[r.shard].append(r.slot)
     assert len(per) == 4 and all(sorted(s) == list(range(1250)) for s in per.values())
+
+
+def test_url_list_of_many_paths_against_brute_force(spark, tmp_path):
+    import random
+
+    from fieldlark.llm.url_filters import read_entries
+
+    r = random.Random(7)
+    hosts = ["a.example.com", "example.com", "b.a.example.com", "com", "other.org"]
+    paths = ["", "/", "/a", "/a/b", "/a/bc", "/b", "/ab"]
+    entries = {(r.choice(hosts), r.choice(paths), f"2024-0{r.randint(1, 9)}-1{r.randint(0, 9)}"): (r.choice(["block", "allow", "end"]), "c") for _ in range(60)}
+    (tmp_path / "list.csv").write_text("host,path,since,action,category\n" + "".join(f"{h},{p},{d},{a},{c}\n" for (h, p, d), (a, c) in entries.items()))
+    asked = [(i, f"https://{r.choice(hosts)}{r.choice(paths)}", f"2024-0{r.randint(1, 9)}-15", i) for i in range(300)] + [(300, None, "2024-05-05", 0), (301, "https://com/a", None, 0), (302, "", "2024-05-05", 0)]
+    captures = spark.createDataFrame(asked, "i int, url string, day string, path int").withColumn("fetched_on", F.col("day").cast("date"))
+
+    def judge(url, day):
+        if not url or day is None:
+            return "keep", None
+        host, _, path = url.removeprefix("https://").partition("/")
+        path, held = ("/" + path if _ else ""), []
+        for h, p in {(h, p) for h, p, _d in entries}:
+            dates = [d for hh, pp, d in entries if (hh, pp) == (h, p) and d <= day]
+            if dates and (host == h or host.endswith("." + h)) and path.startswith(p) and entries[h, p, max(dates)][0] != "end":
+                held.append((len(h), len(p), h, p, entries[h, p, max(dates)][0]))
+        best = max(held, default=None)
+        return ("drop" if best and best[4] == "block" else "keep"), best and best[2] + best[3]
+
+    got = {x.i: (x.decision, x.rule) for x in filter_urls(captures, read_entries(spark, str(tmp_path / "list.csv"))).collect()}
+    assert got == {i: judge(url, day) for i, url, day, _ in asked}
