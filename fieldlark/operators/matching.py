@@ -1,11 +1,13 @@
-"""Order-dependent operators of bounded groups (a tile, a block, an image): suppression, matching, packing, selection.
+"""Order-dependent operators: suppression, matching, packing, selection.
 
-Each group is one Arrow batch to a numpy kernel (``applyInPandas``); groups are
-bounded by what one tile holds. Selections by rank stay window expressions.
+Suppression, greedy matching and thinning settle in rounds of joins, so a group
+may have any size. Optimal matching and packing take a bounded group (a tile, a
+block) as one Arrow batch to a numpy kernel. Selections by rank are windows.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 
@@ -16,42 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fieldlark.functions.numbers import box_iou
+from fieldlark.operators.spatial import iou_pairs, within_distance
+from fieldlark.session import Steps
 
 # --- kernels -----------------------------------------------------------------------------------------------
 
 
-def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of (x0, y0, x1, y1) boxes, all pairs."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    i = np.clip(w, 0, None) * np.clip(h, 0, None)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    u = size(a)[:, None] + size(b)[None, :] - i
-    return np.where(u > 0, i / np.where(u > 0, u, 1), 0.0)
-
-
-def nms_keep(boxes: np.ndarray, order: np.ndarray, limit: float) -> np.ndarray:
-    """Greedy suppression in ``order``: a box goes if its IoU with a kept one is strictly over the limit."""
-    keep = np.zeros(len(boxes), bool)
-    kept: list[int] = []
-    for i in order.tolist():
-        if not kept or iou_matrix(boxes[i : i + 1], boxes[kept]).max() <= limit:
-            keep[i] = True
-            kept.append(i)
-    return keep
-
-
-def greedy_pairs(left: np.ndarray, right: np.ndarray, score: np.ndarray, least: float) -> np.ndarray:
-    """Indices of pairs taken by falling score (ties: lower left, then right), each side once."""
-    out, used_l, used_r = [], set(), set()
-    for k in np.lexsort((right, left, -score)).tolist():
-        if score[k] >= least and left[k] not in used_l and right[k] not in used_r:
-            used_l.add(left[k])
-            used_r.add(right[k])
-            out.append(k)
-    return np.array(out, np.int64)
-
-
 def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row in a least-cost assignment (rows <= columns), by shortest augmenting paths."""
     n, m = cost.shape
@@ -128,21 +100,6 @@ def _assigned(pairs: np.ndarray, left: np.ndarray, right: np.ndarray, score: np.
     return [int(which[i, j]) for i, j in enumerate(assign(-gain).tolist()) if which[i, j] >= 0]
 
 
-def keep_apart(x: np.ndarray, y: np.ndarray, limit: float, exempt: np.ndarray | None = None) -> np.ndarray:
-    """In the given order, points at least ``limit`` from all kept ones; exempt points are always kept and stop no other."""
-    keep, cells = np.zeros(len(x), bool), {}
-    for i, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
-        if exempt is not None and exempt[i]:
-            keep[i] = True
-            continue
-        cx, cy = int(a // limit), int(b // limit)
-        near = (p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p in cells.get((cx + dx, cy + dy), ()))
-        if all((a - c) ** 2 + (b - d) ** 2 >= limit * limit for c, d in near):
-            keep[i] = True
-            cells.setdefault((cx, cy), []).append((a, b))
-    return keep
-
-
 def greedy_count(sizes: Sequence[int], budget: int) -> int:
     """Least number of contiguous parts of at most ``budget`` each; a larger item has a part of its own."""
     parts, free = 0, -1
@@ -201,35 +158,71 @@ def choose_groups(counts: dict[str, int], share: float, k: int) -> tuple[str, ..
 # --- DataFrame operators -----------------------------------------------------------------------------------
 
 
-def suppress(df: DataFrame, tile: str, key: str, rank: str, box: Sequence[str] = ("x0", "y0", "x1", "y1"), *, limit: float) -> DataFrame:
-    """Rows with ``kept``: greedy suppression per tile by falling rank, ties to the least key."""
-    schema = T.StructType([*df.schema.fields, T.StructField("kept", T.BooleanType())])
+def first_come(links: DataFrame) -> DataFrame:
+    """(then): nodes that go if each in order stays unless linked with an earlier one that stays. links: (first, then), each pair once, in order.
 
-    def run(g):
-        order = np.lexsort((g[key].to_numpy(), -g[rank].to_numpy(float)))
-        return g.assign(kept=nms_keep(g[list(box)].to_numpy(float), order, limit))
+    A round settles all nodes whose earlier neighbours are settled, wherever
+    they lie; rounds grow with the longest run of neighbours in falling order,
+    and no group is ever in one task. Rounds are written tables.
+    """
+    steps, gone = Steps(links.sparkSession), []
+    links = steps.put("links", links.select("first", "then"))
+    while not links.isEmpty():
+        stay = links.select("first").distinct().join(links.select(F.col("then").alias("first")), "first", "left_anti")
+        gone.append(steps.put(f"gone{len(gone)}", links.join(stay, "first", "left_semi").select("then").distinct()))
+        links = steps.put("links", links.join(gone[-1], "then", "left_anti").join(gone[-1].withColumnRenamed("then", "first"), "first", "left_anti").select("first", "then"))
+    return functools.reduce(DataFrame.union, gone, links.select("then"))
 
-    return df.groupBy(tile).applyInPandas(run, schema)
 
+def suppress(df: DataFrame, tile: str, key: str, rank: str, box: Sequence[str] = ("x0", "y0", "x1", "y1"), *, limit: float, cell: float) -> DataFrame:
+    """Rows with ``kept``: per tile by falling rank (ties to the least key, nulls last) a box goes if its IoU with a kept one is over the limit.
 
-def match(pairs: DataFrame, group: str, left: str, right: str, score: str, *, least: float, method: str = "greedy") -> DataFrame:
-    """One-to-one pairs per group; pairs: candidates with scores. method: greedy or optimal."""
-    kernel = {"greedy": greedy_pairs, "optimal": optimal_pairs}[method]
+    Keys are unique in a tile. Boxes without a tile are all kept.
+    """
+    rows = df.select(tile, key, *box, F.coalesce(F.nanvl(F.col(rank).cast("double"), F.lit(-np.inf)), F.lit(-np.inf)).alias("rank_"))
+    place = lambda p: F.struct(-F.col(f"{p}rank_"), F.col(f"{p}{key}"))
+    node = lambda p: F.struct(F.col(f"{p}{tile}").alias("tile"), F.col(f"{p}{key}").alias("key"))
+    pairs = iou_pairs(rows, rows, box, cell=cell, keys=[tile]).where((F.col("iou") > limit) & (place("l_") < place("r_")))
+    gone = first_come(pairs.select(node("l_").alias("first"), node("r_").alias("then")))
+    gone = gone.select(F.col("then.tile").alias(tile), F.col("then.key").alias(key), F.lit(False).alias("stay_"))
+    return df.join(gone, [tile, key], "left").select(*df.columns, F.coalesce("stay_", F.lit(True)).alias("kept"))
 
-    def run(g):
-        return g.iloc[kernel(g[left].to_numpy(), g[right].to_numpy(), g[score].to_numpy(float), least)]
 
-    return pairs.select(group, left, right, score).groupBy(group).applyInPandas(run, pairs.select(group, left, right, score).schema)
+def match(pairs: DataFrame, group: str, left: str, right: str, score: str, *, least: float, method: str = "greedy") -> DataFrame:
+    """One-to-one pairs per group; pairs: candidates with scores. method: greedy or optimal.
+
+    Greedy takes pairs by falling score (ties: lower left, then right): in each
+    round all that are the first of both their sides. Optimal takes most pairs,
+    then most score; a group's candidates are one task. Pairs without a score
+    are no candidates, nor for greedy those without a group.
+    """
+    pairs = pairs.select(group, left, right, score)
+    if method == "optimal":
+        return pairs.groupBy(group).applyInPandas(lambda g: g.iloc[optimal_pairs(g[left].to_numpy(), g[right].to_numpy(), g[score].to_numpy(float), least)], pairs.schema)
+    steps, taken = Steps(pairs.sparkSession), []
+    rest = steps.put("rest", pairs.where((F.col(score) >= least) & F.col(group).isNotNull()))
+    first = F.min(F.struct((-F.col(score)).alias("s_"), F.col(left).alias("l_"), F.col(right).alias("r_"), F.col(score).alias("v_"))).alias("x")
+    while not rest.isEmpty():
+        of_left, of_right = (rest.groupBy(group, side).agg(first).select(group, "x.l_", "x.r_", "x.v_") for side in (left, right))
+        both = of_left.join(of_right.drop("v_"), [group, "l_", "r_"]).select(group, F.col("l_").alias(left), F.col("r_").alias(right), F.col("v_").alias(score))
+        taken.append(steps.put(f"taken{len(taken)}", both))
+        rest = steps.put("rest", rest.join(taken[-1].select(group, left), [group, left], "left_anti").join(taken[-1].select(group, right), [group, right], "left_anti").select(*pairs.columns))
+    return functools.reduce(DataFrame.union, taken, rest)
 
 
 def dedupe(df: DataFrame, group: str, order: Sequence[str], at: Sequence[str], *, limit: float, exempt: str | None = None) -> DataFrame:
-    """Rows of each group kept greedily in order, at least ``limit`` apart."""
+    """Rows of each group kept in order, at least ``limit`` from all kept ones before; exempt rows are always kept and stop no other.
 
-    def run(g):
-        g = g.sort_values(list(order), kind="stable")
-        return g[keep_apart(g[at[0]].to_numpy(float), g[at[1]].to_numpy(float), limit, g[exempt].to_numpy(bool) if exempt else None)]
-
-    return df.groupBy(group).applyInPandas(run, df.schema)
+    Order columns are unique in a group and not null; rows without a group or
+    place are kept.
+    """
+    place = lambda p: F.struct(*(F.col(f"{p}{c}").alias(c) for c in order))
+    node = lambda p: F.struct(F.col(f"{p}{group}").alias("group"), place(p).alias("place"))
+    rows = (df if exempt is None else df.where(~F.coalesce(F.col(exempt), F.lit(False)))).select(group, *order, *(c for c in at if c not in order))
+    pairs = within_distance(rows, rows, at, limit=limit, keys=[group]).where((F.col("distance") < limit) & (place("l_") < place("r_")))
+    gone = first_come(pairs.select(node("l_").alias("first"), node("r_").alias("then")))
+    gone = gone.select(F.col("then.group").alias(group), *(F.col(f"then.place.{c}").alias(c) for c in order))
+    return df.join(gone, [group, *order], "left_anti").select(*df.columns)
 
 
 def parts_of_sizes(df: DataFrame, group: str, order: Sequence[str], size: str, *, budget: int, parts: int | None = None) -> DataFrame:

@@ -275,9 +275,9 @@ def drop_confirmed_boxes(t: Tables) -> DataFrame:
 
 @query("nms_1d")
 def nms_1d(t: Tables) -> DataFrame:
-    """Greedy suppression per size class; tested against brute force."""
+    """Greedy suppression per tile; tested against brute force."""
     b = _boxes(t).withColumn("tile", F.col("k") % 20).withColumn("rank", (F.col("k") * 7919 % 1009).cast("double"))
-    return M.suppress(b, "tile", "k", "rank", limit=0.2).where("kept").select("tile", "k")
+    return M.suppress(b, "tile", "k", "rank", limit=0.2, cell=8).where("kept").select("tile", "k")
 
 
 def _candidates(t: Tables) -> DataFrame:

@@ -70,29 +70,10 @@ def test_matching_by_brute_force(seed):
                 best = max(best, (n, round(float(sum(score[i] for i in c)), 6)))
     got = M.optimal_pairs(left, right, score, 0.2)
     assert (len(got), round(float(score[got].sum()), 6)) == best
-    greedy = M.greedy_pairs(left, right, score, 0.2)
-    assert len({*left[greedy]}) == len(greedy) == len({*right[greedy]}) <= best[0]
 
 
-def test_suppression():
-    rng = np.random.default_rng(3)
-    b, rank = boxes(rng, 40), rng.random(40)
-    order = np.argsort(-rank)
-    kept: list = []
-    for i in order:
-        if all(M.iou_matrix(b[i : i + 1], b[j : j + 1])[0, 0] <= 0.3 for j in kept):
-            kept.append(i)
-    assert sorted(np.flatnonzero(M.nms_keep(b, order, 0.3))) == sorted(kept)
-
-
-def test_keep_apart_and_parts():
+def test_parts():
     rng = np.random.default_rng(4)
-    x, y = rng.uniform(0, 20, (2, 200))
-    keep, kept = M.keep_apart(x, y, 2.0), []
-    for i in range(200):
-        if all((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 >= 4 for j in kept):
-            kept.append(i)
-    assert list(np.flatnonzero(keep)) == kept
     for _ in range(50):
         sizes = rng.integers(1, 9, rng.integers(1, 9)).tolist()
         parts = M.plan_parts(sizes, 10)
