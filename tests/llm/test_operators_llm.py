@@ -285,11 +285,15 @@ def test_op9_offsets_by_join(spark, monkeypatch):
     assert len(per) == 4 and all(sorted(s) == list(range(1250)) for s in per.values())
 
 
-def test_url_list_of_many_paths_against_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("most", [200_000, 0])  # broadcast, and shuffled lists
+def test_url_list_of_many_paths_against_brute_force(spark, tmp_path, monkeypatch, most):
     import random
 
+    from fieldlark.llm import url_filters
     from fieldlark.llm.url_filters import read_entries
 
+    monkeypatch.setattr(url_filters, "BROADCAST_ENTRIES", most)
+
     r = random.Random(7)
     hosts = ["a.example.com", "example.com", "b.a.example.com", "com", "other.org"]
     paths = ["", "/", "/a", "/a/b", "/a/bc", "/b", "/ab"]
