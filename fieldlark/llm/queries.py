@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.session import checkpoint_dir, ship_package
 
-from . import url_filters
+from . import filter_audit, line_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +88,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), limit=2048)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over texts of which a tenth are given a periodic end."""
+    from .periodic_runs import periodic_runs, plant_periods, run_digests
+
+    return run_digests(periodic_runs(plant_periods(_read(spark, sf_dir, "documents"))))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -99,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filters": url_filters.oracle()}
+ORACLES: dict[str, str] = {"op3_url_filters": url_filters.oracle(), "op11_filter_audit": filter_audit.SQL, "op13_line_dedup": line_dedup.SQL}
