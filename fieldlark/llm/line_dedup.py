@@ -39,7 +39,8 @@ def _text_hash() -> Column:
 
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, text_hash, line, h1, h2): number and key hash of every line that is long enough. docs: (id, text)."""
-    lines = docs.select("id", _text_hash().alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    hashed = docs.select("id", "text", _text_hash().alias("text_hash"))  # once a text, before its lines
+    lines = hashed.select("id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     keys = lines.where(F.octet_length("raw") >= min_chars).withColumn("key", line_key(F.col("raw"))).where(F.char_length("key") >= min_chars)
     return keys.select("id", "text_hash", "line", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
 
