@@ -1,4 +1,4 @@
-"""Spatial and interval joins by grid cells, exact residuals after.
+"""Spatial and interval joins by cells, exact residuals after: a quadtree's, or a grid's of a given size.
 
 A pair is given out in one cell only (that of the corner its boxes share), so
 no distinct is needed. A crowded cell is one key on both sides and is left to
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldlark.functions.numbers import box_area, box_intersection, box_iou
+from fieldlark.operators.quadtree import adaptive_box_join
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -37,8 +38,10 @@ def interval_join(left: DataFrame, right: DataFrame, bounds: tuple[str, str], *,
     return l_.join(r_, on).drop("bin_", "bin_r")
 
 
-def box_join(left: DataFrame, right: DataFrame, box: Sequence[str] = ("x0", "y0", "x1", "y1"), *, cell: float, keys: Sequence[str] = (), grow: float = 0.0) -> DataFrame:
-    """Pairs of boxes that meet (after growing the left by ``grow``), columns as l_ and r_."""
+def box_join(left: DataFrame, right: DataFrame, box: Sequence[str] = ("x0", "y0", "x1", "y1"), *, cell: float | None = None, keys: Sequence[str] = (), grow: float = 0.0) -> DataFrame:
+    """Pairs of boxes that meet (after growing the left by ``grow``), columns as l_ and r_; without ``cell`` by adaptive cells."""
+    if cell is None:
+        return adaptive_box_join(left, right, box, keys=keys, grow=grow)
     x0, y0, x1, y1 = box
     l_, r_ = _prefixed(left, "l_"), _prefixed(right, "r_")
     lx0, ly0, lx1, ly1 = F.col(f"l_{x0}") - grow, F.col(f"l_{y0}") - grow, F.col(f"l_{x1}") + grow, F.col(f"l_{y1}") + grow
@@ -52,7 +55,7 @@ def box_join(left: DataFrame, right: DataFrame, box: Sequence[str] = ("x0", "y0"
     return l_.join(r_, on & meet & own).drop("cx", "cy", "dx", "dy")
 
 
-def iou_pairs(left: DataFrame, right: DataFrame, box: Sequence[str] = ("x0", "y0", "x1", "y1"), *, cell: float, keys: Sequence[str] = ()) -> DataFrame:
+def iou_pairs(left: DataFrame, right: DataFrame, box: Sequence[str] = ("x0", "y0", "x1", "y1"), *, cell: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """box_join with positive common area: iou and overlap added."""
     pairs = box_join(left, right, box, cell=cell, keys=keys)
     a, b = [F.col(f"l_{c}") for c in box], [F.col(f"r_{c}") for c in box]
