@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldlark.functions.numbers import box_iou
+from fieldlark.operators.quadtree import BOX
 from fieldlark.operators.spatial import iou_pairs, within_distance
 from fieldlark.session import Steps
 
@@ -244,8 +244,9 @@ def caps(df: DataFrame, tile: str, score: str, unique: str, *, per_tile: int, to
 
 def drop_duplicates_of(df: DataFrame, confirmed: DataFrame, tile: str, key: str, box: Sequence[str] = ("x0", "y0", "x1", "y1"), *, least: float = 0.3) -> DataFrame:
     """Boxes without a confirmed box of IoU >= ``least`` in their tile."""
-    c = confirmed.select(F.col(tile).alias("c_tile"), *(F.col(b).alias(f"c_{b}") for b in box))
-    return df.join(c, (F.col(tile) == F.col("c_tile")) & (box_iou([F.col(b) for b in box], [F.col(f"c_{b}") for b in box]) >= least), "left_anti")
+    mine = df.select(F.col(key).alias("k"), F.col(tile).alias("t"), *(F.col(b).alias(n) for b, n in zip(box, BOX)))
+    pairs = iou_pairs(mine, confirmed.select(F.col(tile).alias("t"), *(F.col(b).alias(n) for b, n in zip(box, BOX))), keys=["t"])
+    return df.join(pairs.where(F.col("iou") >= least).select(F.col("l_k").alias(key)).distinct(), key, "left_anti").select(*df.columns)
 
 
 def drawn(df: DataFrame, group: str, unique: str, *, each: int, total: int, seed: int = 0) -> DataFrame:
@@ -288,7 +289,9 @@ def merge_decisions(candidates: DataFrame, decisions: DataFrame, tile: str, key:
     Rejected candidates go; accept or add decisions that match none come in as manual boxes.
     """
     d = decisions.select(F.col(tile).alias("d_tile"), F.col(line).alias("line_"), F.col(decision).alias("decision_"), *(F.col(b).alias(f"d_{b}") for b in box))
-    hit = candidates.join(d, (F.col(tile) == F.col("d_tile")) & (box_iou([F.col(b) for b in box], [F.col(f"d_{b}") for b in box]) >= least))
+    mine = candidates.select(F.col(key).alias("k"), F.col(tile).alias("t"), *(F.col(b).alias(n) for b, n in zip(box, BOX)))
+    theirs = d.select("line_", "decision_", F.col("d_tile").alias("t"), *(F.col(f"d_{b}").alias(n) for b, n in zip(box, BOX)))
+    hit = iou_pairs(mine, theirs, keys=["t"]).where(F.col("iou") >= least).select(F.col("l_k").alias(key), F.col("r_line_").alias("line_"), F.col("r_decision_").alias("decision_"))
     last = hit.groupBy(key).agg(F.max_by("decision_", "line_").alias("last_"))
     kept = candidates.join(last, key, "left").where(F.coalesce("last_", F.lit("")) != "reject").select(tile, F.col(key).cast("string").alias(key), *box, F.when(F.col("last_").isNotNull(), "confirmed").otherwise("auto").alias("origin"))
     alone = d.where(F.col("decision_").isin("accept", "add")).join(hit.select("line_").distinct(), "line_", "left_anti")
