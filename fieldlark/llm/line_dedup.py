@@ -8,10 +8,11 @@ largest id that holds it, all its lines there included. What is dropped returns
 to each text as line numbers, and the other lines are joined in their order.
 
 Counting is by (hash, id) first, so a line that all documents hold is dealt out
-by document, then per hash, summed map-side. Hashes with a holder meet the lines
-by a plain join: broadcast by the engine if they turn out small, else hot hashes
-are split by its skew join. No line text is shuffled, only hashes and numbers;
-each text moves once, to its line numbers.
+by document, then per hash, summed map-side. The hashes of the most frequent
+lines (MOST_HOT at most, by a count that grows with the sum of all counts) are
+broadcast to the lines; the others meet theirs by a shuffle join, which so has no
+hot key. No line text is shuffled, only hashes and numbers; each text moves
+once, to its line numbers.
 
 Rows with equal ids count as one document. Null ids count as one document below
 all others. Null texts count as empty, and an empty text is one empty line; it
@@ -23,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.session import Steps
+
+MOST_HOT, LEAST_HOT = 4096, 256  # hashes broadcast; documents that each is in at least
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -58,8 +62,14 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     named = [f"extra_{i}" for i in range(len(extra))]
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(extra, named)))
     lines = keyed_lines(docs.select("id", "text"), min_chars)
-    repeated = repeated_lines(lines, min_docs).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "holder")
-    lost = lines.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.col("id").eqNullSafe(F.col("holder")))
+    repeated = Steps(docs.sparkSession).put("repeated", repeated_lines(lines, min_docs))
+    hot_docs = max(LEAST_HOT, -(-(repeated.agg(F.sum("n_docs").alias("n")).first().n or 0) // MOST_HOT))
+    hot = repeated.where(F.col("n_docs") >= hot_docs).select(F.col("h1").alias("hot1"), F.col("h2").alias("hot2"), F.col("holder").alias("hot_holder"))  # MOST_HOT at most
+    rest = repeated.where(F.col("n_docs") < hot_docs).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "holder")
+    met = lines.join(F.broadcast(hot), (F.col("h1") == F.col("hot1")) & (F.col("h2") == F.col("hot2")), "left")
+    met = met.withColumn("h1", F.when(F.col("hot_holder").isNull(), F.col("h1")).otherwise(F.xxhash64("id", "text_hash", "line")))  # met already: dealt out evenly
+    met = met.join(rest, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & F.col("hot_holder").isNull(), "left")
+    lost = met.withColumn("holder", F.coalesce("hot_holder", "holder")).where(F.col("holder").isNotNull() & ~F.col("id").eqNullSafe(F.col("holder")))
     lost = lost.groupBy(F.col("id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     both = docs.withColumn("text_hash", _text_hash()).join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
     split = both.select("id", "text", *named, F.split("text", "\n", -1).alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

@@ -144,8 +144,9 @@ def test_op13(spark, sf_dir):
     assert got.where("n_dropped > 0").count() > 0
 
 
-@pytest.mark.parametrize("threshold", ["10485760", "-1"])
-def test_lines_of_odd_rows(spark, threshold):
+@pytest.mark.parametrize("threshold, least_hot", [("10485760", 256), ("-1", 256), ("-1", 6)])
+def test_lines_of_odd_rows(spark, monkeypatch, threshold, least_hot):
+    monkeypatch.setattr("fieldlark.llm.line_dedup.LEAST_HOT", least_hot)
     long = "This line is shared by many, ÄÖ included, and long"
     rows = [(1, None), (2, ""), (3, f"{long}\n\nend"), (3, "another text of id three\n" + long), (3, f"{long}\n\nend"), (4, f" {long.upper().replace('Ä', 'Ä')} \r\n{long}\x0b\nx"), (5, f"a\n{long}"), (None, long), (None, f"b\n{long}"), (6, f"\t{long}\n{long}\n"), (7, long[:39] + "\n"), (8, long + "ä"), (9, long + "Ä")]
     rows += [(i, "y" * 40) for i in range(20, 24)] + [(i, "z" * 40 + "\nq") for i in range(20, 25)] + [(30, "\n".join(f"{k} " + "w" * 40 for k in range(3000))) for _ in range(2)] + [(i, "\n".join(f"{k} " + "w" * 40 for k in range(0, 3000, 2))) for i in range(31, 35)]
