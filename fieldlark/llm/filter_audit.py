@@ -10,8 +10,9 @@ fails k filters is removed first by each of them in n!/k of the n! orders.
 
 Copies are marked by table: the smallest id of every text that several rows
 have, by 128-bit hash, length and crc32 (summed map-side), joined back to rows;
-only ids, masks and hashes are shuffled, and a hot text is split by the engine's
-skew join. What follows the sums has 2**n numbers per part and label.
+only ids, masks and hashes are shuffled. The hashes of the most frequent texts
+(MOST_HOT at most, by a count that grows with the sum of all counts) are
+broadcast, so the shuffle join of the others has no hot key. What follows the sums has 2**n numbers per part and label.
 
 Null texts count as empty, so they are copies of empty ones. Null parts count as
 the empty string. Null ids come after all others, equal ids are no copies of one
@@ -28,8 +29,12 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlark.session import Steps
+
 from .fingerprints import wide_hash
 
+MOST_HOT, LEAST_HOT = 4096, 256  # texts broadcast; rows that each has at least
+
 
 def word_counts(text: Column) -> tuple[Column, Column]:
     """(words, distinct words): maximal runs other than 0x20 and 0x09-0x0D, case-sensitive."""
@@ -60,10 +65,16 @@ def failure_masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     hashed = ("h1", "h2", "size", "crc")
     rows = texts.select("id", "part", _mask(text_conditions(F.col("text"))).alias("mask"), wide_hash(F.col("text")).alias("h")).select("id", "part", "mask", "h.*")
     copies = texts.select("id", wide_hash(F.col("text")).alias("h")).select("id", "h.*").groupBy(*hashed).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = copies.select("least", *(F.col(c).alias(f"copy_{c}") for c in hashed))
-    same = [F.col(c) == F.col(f"copy_{c}") for c in hashed]
-    later = F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))
-    return rows.join(copies, same, "left").select("id", "part", (F.col("mask") + F.when(later, 16).otherwise(0)).alias("mask"))
+    copies = Steps(docs.sparkSession).put("copies", copies)
+    hot_rows = max(LEAST_HOT, -(-(copies.agg(F.sum("n").alias("n")).first().n or 0) // MOST_HOT))
+    named = lambda some, prefix: some.select(F.col("least").alias(f"{prefix}least"), F.lit(True).alias(f"{prefix}met"), *(F.col(c).alias(f"{prefix}{c}") for c in hashed))
+    same = lambda prefix: [F.col(c) == F.col(f"{prefix}{c}") for c in hashed]
+    rows = rows.join(F.broadcast(named(copies.where(F.col("n") >= hot_rows), "hot_")), same("hot_"), "left")  # MOST_HOT at most
+    rows = rows.withColumn("h1", F.when(F.col("hot_met").isNull(), F.col("h1")).otherwise(F.xxhash64("id")))  # met already: dealt out evenly
+    rows = rows.join(named(copies.where(F.col("n") < hot_rows), "copy_"), [*same("copy_"), F.col("hot_met").isNull()], "left")
+    least = F.coalesce("hot_least", "copy_least")
+    later = least.isNotNull() & (F.col("id").isNull() | (F.col("id") > least))
+    return rows.select("id", "part", (F.col("mask") + F.when(later, 16).otherwise(0)).alias("mask"))
 
 
 def parity_sums(masks: DataFrame, labels: DataFrame, n: int, *, id_col: str = "doc_id") -> DataFrame:

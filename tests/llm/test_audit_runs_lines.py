@@ -201,7 +201,9 @@ def test_op11(spark, sf_dir):
     assert {tuple(r) for r in got.collect()} == audit_one_by_one(docs, labels)
 
 
-def test_audit_of_odd_rows(spark):
+@pytest.mark.parametrize("least_hot", [256, 2])
+def test_audit_of_odd_rows(spark, monkeypatch, least_hot):
+    monkeypatch.setattr("fieldlark.llm.filter_audit.LEAST_HOT", least_hot)
     words = " ".join(f"w{i}" for i in range(200))
     rows = [(1, None, "x"), (2, "", None), (3, "", ""), (3, "", "x"), (None, "", "x"), (None, "only here", "x"), (4, words, "x"), (5, words, None), (5, words, "y"), (6, words + " # " * 300, "y"), (7, "ABC DEF\x0bghi " * 30_000, "y"), (8, "ÄÖÜ " * 99, "y"), (9, "a\x85b c", "z")]
     labels = [(5, 1, 0), (5, None, 1), (None, 1, 1), (6, 0, 1), (99, 1, 1), (3, 1, None)]
