@@ -1,12 +1,12 @@
 """Graphs as edge tables: components, adjacency, distances, tours.
 
-Components and relaxations are loops of joins with checkpoints. Tours and path
-walks are numpy kernels on graphs that fit a worker by a checked size.
+Components and relaxations are loops of joins over written tables; walks are in
+``routes``. The tour kernels at the end work on the distances of one group's few
+stops.
 """
 
 from __future__ import annotations
 
-import heapq
 import itertools
 from collections.abc import Iterator, Sequence
 
@@ -18,8 +18,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldlark.session import Steps
 
-MOST_EDGES = 5_000_000  # of a graph that is sent whole to workers
-
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node reachable. edges: (a, b); nodes: (node) to name isolated ones too.
@@ -105,78 +103,9 @@ def shortest_lengths(edges: DataFrame, sources: DataFrame, weight: str, *, most_
     raise RuntimeError("distances still fall after the most rounds")
 
 
-def _csr(edges: DataFrame, weight: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, start, to, weight) of a graph of checked size, for workers."""
-    adj = adjacency(edges, weight)
-    n = adj.count()
-    if n > MOST_EDGES:
-        raise ValueError(f"{n} edges; a graph for workers has {MOST_EDGES} at most: use shortest_lengths")
-    t = adj.orderBy("a", "b").toArrow()
-    a, b, w = (t.column(c).to_numpy() for c in ("a", "b", weight))
-    nodes = np.unique(a)
-    start = np.concatenate((np.searchsorted(a, nodes), [len(a)]))
-    return nodes, start, np.searchsorted(nodes, b), w.astype(float)
-
-
-def dijkstra(start: np.ndarray, to: np.ndarray, w: np.ndarray, source: int, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, node before) from a source, no further than ``limit``; ties to the lower node."""
-    dist, before = np.full(len(start) - 1, np.inf), np.full(len(start) - 1, -1, np.int64)
-    dist[source] = 0
-    heap, done = [(0.0, source)], np.zeros(len(dist), bool)
-    while heap:
-        d, u = heapq.heappop(heap)
-        if done[u]:
-            continue
-        done[u] = True
-        for k in range(start[u], start[u + 1]):
-            v, nd = int(to[k]), d + w[k]
-            if nd < dist[v] and nd <= limit:
-                dist[v], before[v] = nd, u
-                heapq.heappush(heap, (nd, v))
-    return dist, before
-
-
 def distance_matrix(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:
-    """(source, node, dist) by heaps on workers, sources dealt out; the graph is sent whole after a check of its size."""
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(_csr(edges, weight))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, start, to, w = shared.value
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                i = int(np.searchsorted(nodes, s))
-                if i < len(nodes) and nodes[i] == s:
-                    dist, _ = dijkstra(start, to, w, i)
-                    ok = np.flatnonzero(np.isfinite(dist))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), s)), pa.array(nodes[ok]), pa.array(dist[ok])], names=["source", "node", "dist"])
-
-    return sources.select(F.col("node").cast("long")).distinct().repartition(spark.sparkContext.defaultParallelism, "node").mapInArrow(run, "source long, node long, dist double")
-
-
-def leg_paths(edges: DataFrame, legs: DataFrame, weight: str) -> DataFrame:
-    """(leg, path, dist): node list of each leg (leg, a, b); null path if b cannot be reached."""
-    shared = legs.sparkSession.sparkContext.broadcast(_csr(edges, weight))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, start, to, w = shared.value
-        for batch in batches:
-            paths, far = [], []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                i, j = np.searchsorted(nodes, [a, b])
-                path, d = None, None
-                if i < len(nodes) and j < len(nodes) and nodes[i] == a and nodes[j] == b:
-                    dist, before = dijkstra(start, to, w, int(i))
-                    if np.isfinite(dist[j]):
-                        path, d = [int(j)], float(dist[j])
-                        while path[-1] != i:
-                            path.append(int(before[path[-1]]))
-                        path = [int(nodes[k]) for k in path[::-1]]
-                paths.append(path)
-                far.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.list_(pa.int64())), pa.array(far, pa.float64())], names=["leg", "path", "dist"])
-
-    return legs.select(F.col("leg").cast("long"), F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "leg long, path array<long>, dist double")
+    """(source, node, dist) of all nodes reachable from the sources (node)."""
+    return shortest_lengths(edges, sources.select(F.col("node").cast("long")), weight).select("source", "node", F.col("dist").cast("double").alias("dist"))
 
 
 def contract(edges: Sequence[tuple[int, int, float]], keep: set[int]) -> list[tuple[int, int, float]]:

@@ -23,7 +23,7 @@ millimetres), so that equal places are equal numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlark.operators.quadtree import BOX, Quadtree, quadtree
+from fieldlark.operators.routes import ring_positions
 from fieldlark.session import Steps
 
 STRIP = 1 << 22  # cells of a leaf in memory at once
@@ -126,17 +127,7 @@ def trace(edges: DataFrame, group: str) -> DataFrame:
     turn = F.pmod(F.col("way_") - F.col("way"), F.lit(4))  # 1: to the left, 0: straight on, 3: to the right
     chosen = met.groupBy("edge").agg(F.min(F.struct(F.when(turn == 1, 0).when(turn == 0, 1).otherwise(2).alias("rank"), F.col("next"))).alias("to"))
     links = steps.put("links", chosen.select("edge", "to.next", (F.col("to.rank") != 1).alias("bends")))
-    ptr = steps.put("ptr", links.select("edge", F.col("next").alias("ptr"), F.col("edge").alias("low"), F.lit(0).cast("long").alias("off")))
-    size = 1
-    while True:  # low: the least of the ``size`` edges from here on; off: how far ahead it is
-        there = ptr.select(F.col("edge").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("low_"), F.col("off").alias("off_"))
-        less = F.col("low_") < F.col("low")
-        moved = ptr.join(there, "ptr").select("edge", F.col("far").alias("ptr"), F.least("low", "low_").alias("low"), F.when(less, F.col("off_") + size).otherwise(F.col("off")).alias("off"), less.alias("fell"))
-        ptr = steps.put("ptr", moved)
-        size *= 2
-        if ptr.where("fell").isEmpty():
-            break
-    of = ptr.select("edge", F.col("low").alias("ring"), "off")
+    of = ring_positions(links.select(F.col("edge").alias("item"), "next")).select(F.col("item").alias("edge"), "ring", F.col("ahead").alias("off"))
     bent = links.where("bends").select(F.col("next").alias("edge"), F.lit(True).alias("corner"))
     rings = e.join(of, "edge").join(bent, "edge", "left")
     point = F.when(F.col("corner"), F.struct(F.when(F.col("off") == 0, F.lit(-(2**62))).otherwise(-F.col("off")).alias("at"), F.col("x0").alias("x"), F.col("y0").alias("y")))
