@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.operators import labelling as L
 from fieldlark.operators import outlines as O
+from fieldlark.operators import row_votes as V
 from fieldlark.operators import spanning as S
 from fieldlark.operators.quadtree import adaptive_box_join
 
@@ -227,3 +228,62 @@ def outside_lengths(t: Tables) -> DataFrame:
     segments = t.customer.select(k.alias("k"), x.alias("x0"), y.alias("y0"), F.when(flat, x + n).otherwise(x).alias("x1"), F.when(flat, y).otherwise(y + n).alias("y1"))
     boxes = t.supplier.select((s * 7 % 200).alias("x0"), (s * 13 % 190).alias("y0"), (s * 7 % 200 + 9 + s % 7).alias("x1"), (s * 13 % 190 + 8).alias("y1"))
     return S.outside_lengths(segments, boxes, "k").select("k", F.round("length").cast("long").alias("length"), F.round("outside").cast("long").alias("outside"))
+
+
+# --- votes for rows ----------------------------------------------------------------------------------------
+
+_SEEN = "SELECT l_suppkey % 20 AS tile, l_partkey * 7 % 401 AS x, 25 * (l_orderkey % 16) + l_linenumber % 3 + (l_partkey * 7 % 401) * (l_suppkey % 5) // 8 AS y FROM lineitem"
+_ANGLES = [5.0 * k for k in range(36)]
+_GRID = ", ".join(f"({a}, {V._turn(a)[0]!r}, {V._turn(a)[1]!r})" for a in _ANGLES)
+_VOTES = f"v AS (SELECT tile, angle, floor((y * c - x * s) / 4.0)::BIGINT AS bin, count(*) AS n FROM ({_SEEN}), (VALUES {_GRID}) g(angle, c, s) GROUP BY ALL)"
+_BEST = """scored AS (SELECT tile, angle, (sum(n * n) * (max(bin) - min(bin) + 1) - sum(n) * sum(n))::DOUBLE / ((max(bin) - min(bin) + 1) * (max(bin) - min(bin) + 1)) AS score FROM v GROUP BY ALL),
+best AS (SELECT tile, arg_max(angle::DOUBLE, struct_pack(s := score, a := -angle)) AS angle FROM scored GROUP BY tile)"""
+
+
+def _seen(t: Tables) -> DataFrame:
+    x = F.col("l_partkey") * 7 % 401
+    return t.lineitem.select((F.col("l_suppkey") % 20).alias("tile"), x.alias("x"), (25 * (F.col("l_orderkey") % 16) + F.col("l_linenumber") % 3 + F.floor(x * (F.col("l_suppkey") % 5) / 8)).alias("y"))
+
+
+@query("row_peaks", f"""WITH {_VOTES}, {_BEST}, top AS (SELECT v.tile, angle, bin, n, max(n) OVER (PARTITION BY v.tile ORDER BY bin RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING) AS b, max(n) OVER (PARTITION BY v.tile ORDER BY bin RANGE BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS a
+FROM v JOIN best USING (tile, angle)) SELECT tile, angle, row_number() OVER (PARTITION BY tile ORDER BY bin) AS peak, bin, n FROM top WHERE n >= 20 AND n > coalesce(b, 0) AND n >= coalesce(a, 0)""")
+def row_peaks(t: Tables) -> DataFrame:
+    """Votes for angle and offset per tile, the best angle, and peaks of its profile."""
+    voted = V.votes(_seen(t), "tile", _ANGLES, 4.0)
+    profile = voted.join(V.best_angles(voted, "tile").drop("score"), ["tile", "angle"])
+    return V.peaks(profile, ["tile", "angle"], apart=4, least=20)
+
+
+_ROUND = """l{k} AS (SELECT g, (sum(w * t * o) - sum(w * t) * sum(w * o) / sum(w)) / (sum(w * t * t) - sum(w * t) * sum(w * t) / sum(w)) AS a, sum(w) AS sw, sum(w * t) AS st, sum(w * o) AS so FROM w{k} GROUP BY g),
+w{n} AS (SELECT p.g, t, o, CASE WHEN abs(o - a * t - (so - a * st) / sw) <= 2 THEN 1.0::DOUBLE ELSE 2.0 / abs(o - a * t - (so - a * st) / sw) END AS w FROM p JOIN l{k} USING (g))"""
+
+
+@query(
+    "band_fits",
+    f"""WITH q AS (SELECT l_orderkey % 50 AS g, l_partkey::DOUBLE AS t, (l_partkey * (l_orderkey % 50) / 100.0 + l_linenumber + CASE WHEN l_suppkey % 11 = 0 THEN 60 ELSE 0 END)::DOUBLE AS o FROM lineitem),
+c AS (SELECT g, avg(t) AS t0, avg(o) AS o0, count(*) AS n FROM q GROUP BY g), p AS (SELECT g, t - t0 AS t, o - o0 AS o FROM q JOIN c USING (g)), w0 AS (SELECT *, 1.0::DOUBLE AS w FROM p),
+{", ".join(_ROUND.format(k=k, n=k + 1) for k in range(4))}
+SELECT g, n, round(a, 6) AS slope, round((so - a * st) / sw + o0 - a * t0, 3) AS intercept FROM l3 JOIN c USING (g)""",
+)
+def band_fits(t: Tables) -> DataFrame:
+    """Robust lines of all groups at once, four rounds of weighted sums."""
+    g, x = F.col("l_orderkey") % 50, F.col("l_partkey")
+    o = x * g / 100.0 + F.col("l_linenumber") + F.when(F.col("l_suppkey") % 11 == 0, 60).otherwise(0)
+    lines = V.fit_lines(t.lineitem.select(g.alias("g"), x.cast("double").alias("t"), o.cast("double").alias("o")), ["g"], delta=2.0, rounds=4)
+    return lines.select("g", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+@query(
+    "period_snr",
+    """WITH p AS (SELECT l_suppkey % 10 AS g, l_partkey % 400 AS i, sum(1 + CASE WHEN l_partkey % (5 + l_suppkey % 10) = 0 THEN 4 ELSE 0 END)::DOUBLE AS v FROM lineitem GROUP BY 1, 2), m AS (SELECT g, avg(v) AS mean FROM p GROUP BY g),
+s AS (SELECT g, period, pow(sum((v - mean) * cos(2 * pi() * i / period)), 2) + pow(sum((v - mean) * sin(2 * pi() * i / period)), 2) AS power FROM p JOIN m USING (g), (SELECT 3 + k * 0.25::DOUBLE AS period FROM range(100) r(k)) GROUP BY ALL),
+a AS (SELECT g, avg(power) FILTER (abs(1 / period - 1 / 8.0) <= 0.03 / 8.0) AS peak, avg(power) FILTER (abs(1 / period - 1 / 16.0) <= 0.03 / 16.0) AS sub, median(power) AS low FROM s GROUP BY g)
+SELECT g, round(peak / low, 4) AS snr, sub > peak AS harmonic FROM a""",
+)
+def period_snr(t: Tables) -> DataFrame:
+    """How far the power at a period of 8 stands above the median of all."""
+    g, k = F.col("l_suppkey") % 10, F.col("l_partkey")
+    v = 1 + F.when(k % (5 + g) == 0, 4).otherwise(0)
+    profile = t.lineitem.groupBy(g.alias("g"), (k % 400).alias("i")).agg(F.sum(v).cast("double").alias("v"))
+    power = V.periodogram(profile, ["g"], "i", "v", [3 + 0.25 * j for j in range(100)])
+    return V.spectral_snr(power, ["g"], 8.0, wide=0.03).select("g", F.round("snr", 4).alias("snr"), "harmonic")
