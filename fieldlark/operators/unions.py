@@ -3,14 +3,18 @@
 Links are taken in order of (cost, key); one is refused if the chains it would
 join hold two members of one tile that overlap by more than a tolerance. A link
 that is the least of all those of both its chains can be settled at once: no
-earlier link touches either chain. Each round settles all such links, refused
-ones fall (chains only grow, so what conflicts stays in conflict), and chains
-that were joined become one. The result is that of the one-by-one order, ties by
-key, and no block or tile is in one task.
+earlier link touches either chain. Each round drops the links of all chains that
+conflict (chains only grow, so what conflicts stays in conflict), settles those
+least on both sides, and keeps the first link between any two chains. The result
+is that of the one-by-one order, ties by key. No block or tile is in one task;
+only what is left once pieces and links are ``settle`` or fewer goes one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,29 +22,69 @@ from pyspark.sql.window import Window
 from fieldlark.session import Steps
 
 
-def chains(pieces: DataFrame, links: DataFrame, *, overlap: float, most_rounds: int = 10_000) -> DataFrame:
-    """(piece, chain): chain is its least piece. pieces: (piece, tile, low, high); links: (a, b, cost, link), link unique."""
+SETTLE = 200_000  # links and pieces that one pass takes
+
+
+def chains(pieces: DataFrame, links: DataFrame, *, overlap: float, settle: int = SETTLE, most_rounds: int = 10_000) -> DataFrame:
+    """(piece, chain): chain is its least piece. pieces: (piece, tile, low, high), numbers; links: (a, b, cost, link), link unique."""
     steps = Steps(pieces.sparkSession)
+    small = pieces.count() <= settle
     members = steps.put("members", pieces.select("piece", F.col("piece").alias("chain"), "tile", "low", "high"))
-    live = steps.put("live", links.where("a <> b").select("link", "cost", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    live = steps.put("live", links.where("a <> b").select("link", "cost", F.least("a", "b").alias("ca"), F.greatest("a", "b").alias("cb")))
     for _ in range(most_rounds):
         if live.isEmpty():
             return members.select("piece", "chain")
+        if small and live.count() <= settle:
+            none = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
+            rows = members.select("piece", "chain", "tile", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), *none("cost"), F.lit(None).cast(live.schema["link"].dataType).alias("link"))
+            rows = rows.unionByName(live.select(F.col("ca").alias("piece"), F.col("cb").alias("chain"), F.lit(None).cast(pieces.schema["tile"].dataType).alias("tile"), *none("low", "high"), F.col("cost").cast("double").alias("cost"), "link"))
+            return rows.coalesce(1).mapInArrow(_one_by_one(overlap), members.select("piece", "chain").schema)
+        pairs = steps.put("pairs", live.select("ca", "cb").distinct())
+        side = lambda c, p: pairs.join(members.select(F.col("chain").alias(c), F.col("tile").alias(f"{p}tile"), F.col("low").alias(f"{p}low"), F.col("high").alias(f"{p}high")), c)
+        clash = (F.col("ptile") == F.col("qtile")) & (F.least("phigh", "qhigh") - F.greatest("plow", "qlow") > overlap)
+        refused = side("ca", "p").join(side("cb", "q").withColumnsRenamed({"ca": "ca_", "cb": "cb_"}), (F.col("ca") == F.col("ca_")) & (F.col("cb") == F.col("cb_")) & clash).select("ca", "cb").distinct()
+        live = steps.put("live", live.join(refused, ["ca", "cb"], "left_anti"))
         ends = live.select("cost", "link", F.explode(F.array("ca", "cb")).alias("chain"))
         least = ends.groupBy("chain").agg(F.min(F.struct("cost", "link")).alias("m")).select("chain", "m.link")
         now = least.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("link")
-        now = steps.put("now", live.join(now, "link").select("link", "ca", "cb"))
-        side = lambda c, p: now.select("link", F.col(c).alias("chain")).join(members, "chain").select(F.col("link").alias(f"{p}link"), F.col("tile").alias(f"{p}tile"), F.col("low").alias(f"{p}low"), F.col("high").alias(f"{p}high"))
-        both = side("ca", "p").join(side("cb", "q"), (F.col("plink") == F.col("qlink")) & (F.col("ptile") == F.col("qtile")) & (F.least("phigh", "qhigh") - F.greatest("plow", "qlow") > overlap))
-        refused = both.select(F.col("plink").alias("link")).distinct()
-        joined = steps.put("joined", now.join(refused, "link", "left_anti").select(F.greatest("ca", "cb").alias("old"), F.least("ca", "cb").alias("new")))
+        joined = steps.put("joined", live.join(now, "link").select(F.greatest("ca", "cb").alias("old"), F.least("ca", "cb").alias("new")))
         moved = lambda df, c: df.join(joined.select(F.col("old").alias(c), F.col("new").alias(f"{c}_")), c, "left").withColumn(c, F.coalesce(f"{c}_", c)).drop(f"{c}_")
-        left = moved(moved(live.join(now.select("link"), "link", "left_anti"), "ca"), "cb").where("ca <> cb")
-        live = steps.put("live", left.select("link", "cost", "ca", "cb"))
+        left = moved(moved(live, "ca"), "cb").where("ca <> cb").select("link", "cost", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+        live = steps.put("live", left.groupBy("ca", "cb").agg(F.min(F.struct("cost", "link")).alias("m")).select("m.*", "ca", "cb"))
         members = steps.put("members", moved(members, "chain").select("piece", "chain", "tile", "low", "high"))
     raise RuntimeError("links are left after the most rounds")
 
 
+def _one_by_one(overlap: float):
+    """Settles what is left in one pass: rows with a cost are links of two chains, the others are pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("piece", "chain", "tile", "low", "high", "cost", "link"))))
+        held: dict = {}
+        for piece, chain, tile, low, high, cost, _ in rows:
+            if cost is None:
+                held.setdefault(chain, []).append((piece, tile, low, high))
+        now = {c: c for c in held}
+        for a, b, *_ in sorted((r for r in rows if r[5] is not None), key=lambda r: (r[5], r[6])):
+            while now[a] != a:
+                a = now[a]
+            while now[b] != b:
+                b = now[b]
+            if a == b or any(p[1] is not None and p[1] == q[1] and min(p[3], q[3]) - max(p[2], q[2]) > overlap for p in held[a] for q in held[b]):
+                continue
+            keep, gone = min(a, b), max(a, b)
+            held[keep] += held.pop(gone)
+            now[gone] = keep
+        piece, chain = zip(*((p[0], c) for c, ps in held.items() for p in ps))
+        yield pa.RecordBatch.from_arrays([pa.array(piece, table.schema.field("piece").type), pa.array(chain, table.schema.field("chain").type)], names=["piece", "chain"])
+
+    return run
+
+
 def split_unsupported(members: DataFrame, *, longest: float) -> DataFrame:
     """(chain, part, piece): chains cut where no member covers a stretch over ``longest``; members: (chain, piece, low, high), places along the chain.
 

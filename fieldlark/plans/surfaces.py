@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fieldlark.operators import labelling as L
 from fieldlark.operators import outlines as O
 from fieldlark.operators import row_votes as V
+from fieldlark.operators import skeletons as K
 from fieldlark.operators import spanning as S
+from fieldlark.operators import unions as U
 from fieldlark.operators.quadtree import adaptive_box_join
 
 from .registry import Tables, query
@@ -287,3 +289,52 @@ def period_snr(t: Tables) -> DataFrame:
     profile = t.lineitem.groupBy(g.alias("g"), (k % 400).alias("i")).agg(F.sum(v).cast("double").alias("v"))
     power = V.periodogram(profile, ["g"], "i", "v", [3 + 0.25 * j for j in range(100)])
     return V.spectral_snr(power, ["g"], 8.0, wide=0.03).select("g", F.round("snr", 4).alias("snr"), "harmonic")
+
+
+# --- chains, branches, grids -------------------------------------------------------------------------------
+
+
+@query("chained_pieces")
+def chained_pieces(t: Tables) -> DataFrame:
+    """Pieces joined in order of cost unless they clash within a tile; tested against the one-by-one order."""
+    k = F.col("c_custkey")
+    pieces = t.customer.select(k.alias("piece"), (k % 7).alias("tile"), (k * 13 % 90).cast("double").alias("low"), (k * 13 % 90 + 4 + k % 9).cast("double").alias("high"))
+    each = F.array(*(F.struct((k * s % m + 1).alias("b"), (k * 2 + j).alias("link")) for j, (s, m) in enumerate(((31, 149), (17, 113)))))
+    links = t.customer.select(k.alias("a"), (k * 7 % 50).cast("double").alias("cost"), F.inline(each)).join(t.customer.select(k.alias("b")), "b", "left_semi")
+    return U.chains(pieces, links.select("a", "b", "cost", "link"), overlap=1.0)
+
+
+_BRANCHES = "SELECT o_orderkey AS branch, o_custkey % 400 AS u, 400 + o_orderkey % 700 AS v, 1 + o_orderkey % 9 AS length FROM orders"
+
+
+@query(
+    "spur_round",
+    f"""WITH b AS ({_BRANCHES}), d AS (SELECT node, count(*) AS deg FROM (SELECT u AS node FROM b UNION ALL SELECT v FROM b) GROUP BY node),
+x AS (SELECT b.*, du.deg AS du, dv.deg AS dv, length < 4 AND least(du.deg, dv.deg) = 1 AND greatest(du.deg, dv.deg) >= 3 AS spur FROM b JOIN d du ON du.node = u JOIN d dv ON dv.node = v)
+SELECT count(*) AS n, sum(length)::BIGINT AS length FROM x WHERE NOT spur""",
+)
+def spur_round(t: Tables) -> DataFrame:
+    """Branches left when spurs are pruned; no junction here loses all its branches and one round is enough, which the SQL takes for granted."""
+    k = F.col("o_orderkey")
+    branches = t.orders.select(k.alias("branch"), (F.col("o_custkey") % 400).alias("u"), (400 + k % 700).alias("v"), (1 + k % 9).cast("double").alias("length"))
+    return K.prune_spurs(branches, 4.0).agg(F.count(F.lit(1)).alias("n"), F.sum("length").cast("long").alias("length"))
+
+
+_TRIANGLES = "SELECT s_suppkey AS k, s_suppkey * 37 % 180 AS x, s_suppkey * 53 % 170 AS y, 5 + s_suppkey % 20 AS w, 4 + s_suppkey % 17 AS h FROM supplier"
+
+
+@query(
+    "coverage_grid",
+    f"""WITH t AS ({_TRIANGLES}), e AS (SELECT k, x AS x0, y AS y0, x + w AS x1, y + 2 AS y1 FROM t UNION ALL SELECT k, x + w, y + 2, x + w // 2, y + h FROM t UNION ALL SELECT k, x + w // 2, y + h, x, y FROM t),
+p AS (SELECT k, j, unnest(range(x, x + w + 1)) AS i FROM (SELECT k, x, w, unnest(range(y, y + h + 1)) AS j FROM t)), s AS (SELECT p.*, q, j + (q + 0.5) / 2 AS yc FROM p, range(2) r(q)),
+c AS (SELECT s.k, j, i, q, abs(sum(CASE WHEN y1 > y0 THEN 1 ELSE -1 END * least(1, greatest(0, i + 1 - (x0 + (yc - y0) * (x1 - x0) / (y1 - y0)::DOUBLE))))) AS part FROM s JOIN e ON e.k = s.k AND least(y0, y1) <= yc AND yc < greatest(y0, y1) GROUP BY ALL),
+g AS (SELECT j, i, least(1, round(sum(part) / 2, 6)) AS share FROM c WHERE i < 200 AND j < 200 GROUP BY ALL) SELECT j::BIGINT AS j, i::BIGINT AS i, share::DOUBLE AS share FROM g WHERE share > 0""",
+)
+def coverage_grid(t: Tables) -> DataFrame:
+    """Shares of pixels that triangles cover; the SQL sums signed crossings per pixel."""
+    k = F.col("s_suppkey")
+    x, y, w, h = k * 37 % 180, k * 53 % 170, 5 + k % 20, 4 + k % 17
+    corners = [(x, y), (x + w, y + 2), (x + F.floor(w / 2), y + h)]
+    sides = F.array(*(F.struct(a[0].cast("double").alias("x0"), a[1].cast("double").alias("y0"), b[0].cast("double").alias("x1"), b[1].cast("double").alias("y1")) for a, b in zip(corners, corners[1:] + corners[:1])))
+    grid = K.coverage(t.supplier.select(k.alias("k"), F.inline(sides)), key="k", width=200, height=200, samples=2)
+    return grid.select("j", "i", F.round("share", 6).alias("share")).where("share > 0")

@@ -74,15 +74,25 @@ def chained(pieces, links, overlap):
     return root
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains(spark, seed):
+@pytest.mark.parametrize("seed, settle", [(1, 0), (2, 30), (3, 1000), (4, 1000)])
+def test_chains(spark, seed, settle):
     r = random.Random(seed)
-    pieces = [(k, r.randrange(5), lo := r.randrange(0, 40) / 2, lo + r.randrange(2, 12) / 2) for k in range(60)]
-    links = [(r.randrange(60), r.randrange(60), r.randrange(6) / 4, k) for k in range(220)]
-    got = U.chains(spark.createDataFrame(pieces, "piece long, tile int, low double, high double"), spark.createDataFrame(links, "a long, b long, cost double, link long"), overlap=0.5)
+    pieces = [(k, r.randrange(5), lo := r.randrange(0, 40) / 2, lo + r.randrange(2, 12) / 2) for k in range(30)]
+    links = [(r.randrange(30), r.randrange(30), r.randrange(6) / 4, k) for k in range(70)]
+    got = U.chains(spark.createDataFrame(pieces, "piece long, tile int, low double, high double"), spark.createDataFrame(links, "a long, b long, cost double, link long"), overlap=0.5, settle=settle)
     assert {x.piece: x.chain for x in got.collect()} == chained(pieces, links, 0.5)
 
 
+def test_registered_chains(spark, sf_dir):
+    from fieldlark.plans.catalog import QUERIES
+
+    got = {x.piece: x.chain for x in QUERIES["chained_pieces"](spark, sf_dir).collect()}
+    keys = sorted(r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").collect())
+    pieces = [(k, k % 7, float(k * 13 % 90), float(k * 13 % 90 + 4 + k % 9)) for k in keys]
+    links = [(k, k * s % m + 1, float(k * 7 % 50), k * 2 + j) for k in keys for j, (s, m) in enumerate(((31, 149), (17, 113))) if k * s % m + 1 in set(keys)]
+    assert got == chained(pieces, links, 1.0)
+
+
 def test_chain_over_three_tiles(spark):
     pieces = [(1, 0, 0.0, 10.0), (2, 1, 10.0, 20.0), (3, 2, 20.0, 30.0), (4, 1, 11.0, 19.0), (5, 2, 40.0, 45.0)]
     links = [(1, 2, 0.1, 1), (2, 3, 0.1, 2), (1, 4, 0.05, 3), (4, 3, 0.3, 4), (3, 5, 0.2, 5)]
