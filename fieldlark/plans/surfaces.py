@@ -180,13 +180,13 @@ def least_connections(t: Tables) -> DataFrame:
     return S.least_connections(made.unionByName(row), "w")
 
 
-_LINES = "SELECT s_suppkey AS line, s_suppkey * 7 % 20 * 30 AS x, s_suppkey * 3 AS y, 20000 + s_suppkey % 9 * 1000 AS length FROM supplier"
+_LINES = "SELECT s_suppkey AS line, s_suppkey * 7 % 20 * 3 AS x, s_suppkey * 3 AS y, 20000 + s_suppkey % 9 * 1000 AS length FROM supplier"
 _STOPS = f"SELECT line, pos, x + pos / 1000 AS x, y FROM (SELECT *, unnest([0, length // 2, length]) AS pos FROM ({_LINES}))"
 
 
 def _lines(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    return t.supplier.select(k.alias("line"), (k * 7 % 20 * 30).alias("x"), (k * 3).alias("y"), (20000 + k % 9 * 1000).alias("length"))
+    return t.supplier.select(k.alias("line"), (k * 7 % 20 * 3).alias("x"), (k * 3).alias("y"), (20000 + k % 9 * 1000).alias("length"))
 
 
 def _walk_graph(t: Tables) -> DataFrame:
