@@ -33,8 +33,9 @@ def _turn(angle: float) -> tuple[float, float]:
 def votes(points: DataFrame, tile: str, angles: Sequence[float], bin_size: float) -> DataFrame:
     """(tile, angle, bin, n). points: (tile, x, y)."""
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    each = F.array(*(F.struct(F.lit(float(a)).alias("angle"), F.floor((y * _turn(a)[0] - x * _turn(a)[1]) / bin_size).alias("bin")) for a in angles))
-    return points.where("x IS NOT NULL AND y IS NOT NULL").select(tile, F.inline(each)).groupBy(tile, "angle", "bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = F.array(*(F.struct(F.lit(float(a)).alias("angle"), F.lit(_turn(a)[0]).alias("c_"), F.lit(_turn(a)[1]).alias("s_")) for a in angles))  # folded to one literal
+    turned_ = points.where("x IS NOT NULL AND y IS NOT NULL").select(tile, x.alias("x"), y.alias("y"), F.inline(grid))
+    return turned_.groupBy(tile, "angle", F.floor((F.col("y") * F.col("c_") - F.col("x") * F.col("s_")) / bin_size).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_angles(voted: DataFrame, tile: str) -> DataFrame:

@@ -11,6 +11,7 @@ from fieldlark.operators import row_votes as V
 from fieldlark.operators import skeletons as K
 from fieldlark.operators import spanning as S
 from fieldlark.operators import unions as U
+from fieldlark.operators.derive import derive
 from fieldlark.operators.quadtree import adaptive_box_join
 
 from .registry import Tables, query
@@ -338,3 +339,29 @@ def coverage_grid(t: Tables) -> DataFrame:
     sides = F.array(*(F.struct(a[0].cast("double").alias("x0"), a[1].cast("double").alias("y0"), b[0].cast("double").alias("x1"), b[1].cast("double").alias("y1")) for a, b in zip(corners, corners[1:] + corners[:1])))
     grid = K.coverage(t.supplier.select(k.alias("k"), F.inline(sides)), key="k", width=200, height=200, samples=2)
     return grid.select("j", "i", F.round("share", 6).alias("share")).where("share > 0")
+
+
+# --- blocks derived from objects ---------------------------------------------------------------------------
+
+_PIECES = "SELECT s_suppkey % 13 AS g, s_suppkey * 23 % 90 AS x0, s_suppkey * 31 % 80 AS y0, 6 + s_suppkey % 9 AS w, 0 AS h FROM supplier"
+_ALL = f"SELECT * FROM ({_SHEET}) UNION ALL SELECT * FROM ({_HOLE}) UNION ALL SELECT * FROM ({_PIECES})"
+
+
+@query(
+    "derived_blocks",
+    f"""WITH big AS ({_paint(_ALL, 1)}), cells AS ({_erode('big', 1)}), o AS ({_SIZES.format(cells='cells')}),
+corners AS (SELECT g, x + i AS vx, y + j AS vy, count(*) AS n, sum(i * 2 + j) AS s FROM cells, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) GROUP BY ALL),
+turns AS (SELECT g, CAST(sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND s = 3 THEN 2 ELSE 0 END) // 4 AS BIGINT) AS parts_less_holes FROM corners GROUP BY g),
+a AS (SELECT g, CAST(count(*) AS DOUBLE) AS canopy_area FROM ({_paint(_SHEET)}) GROUP BY g), b AS (SELECT g, CAST(count(*) AS DOUBLE) AS interrow_area FROM ({_paint(_HOLE)}) GROUP BY g),
+n AS (SELECT g, count(*) AS n_canopies FROM ({_SHEET}) GROUP BY g), p AS (SELECT g, count(*) AS n_row_pieces, CAST(sum(w) AS DOUBLE) AS row_length FROM ({_PIECES}) GROUP BY g)
+SELECT g, coalesce(n_canopies, 0) AS n_canopies, coalesce(n_row_pieces, 0) AS n_row_pieces, coalesce(row_length, 0) AS row_length, coalesce(canopy_area, 0) AS canopy_area, coalesce(interrow_area, 0) AS interrow_area, o.area AS outline_area, o.length AS outline_length, parts_less_holes
+FROM o JOIN turns USING (g) LEFT JOIN a USING (g) LEFT JOIN b USING (g) LEFT JOIN n USING (g) LEFT JOIN p USING (g)""",
+)
+def derived_blocks(t: Tables) -> DataFrame:
+    """Blocks of overlapping crowns, lanes and row pieces: true areas, closed outlines."""
+    k = F.col("s_suppkey")
+    x, y = k * 23 % 90, k * 31 % 80
+    pieces = t.supplier.select((k % 13).alias("g"), x.alias("x0"), y.alias("y0"), (x + 6 + k % 9).alias("x1"), y.alias("y1"))
+    layers = [df.withColumn("tile", F.col("x0") % 3) for df in (_sheets(t), pieces, _holes(t))]
+    out = derive(*layers, t.supplier.select((k % 13).alias("g"), k.cast("double").alias("position")), "g", "tile", reach=1.0, lone_reach=1.0)
+    return out.select("g", "n_canopies", "n_row_pieces", "row_length", "canopy_area", "interrow_area", "outline_area", "outline_length", (F.col("n_parts") - F.col("n_holes")).alias("parts_less_holes"))

@@ -117,3 +117,23 @@ def test_walkable(spark):
 def test_empty(spark):
     none = frame(spark, {})
     assert O.trace(O.boundary(none, "g"), "g").count() == O.measures(O.boundary(none, "g"), "g").count() == 0
+
+
+def test_derive(spark):
+    from fieldlark.operators.derive import derive
+
+    groups = {"a": some(8, 30, 12, 6), "b": [(40, 0, 44, 3), (60, 0, 61, 1)], "c": []}
+    lanes = {"a": some(9, 10, 12, 6), "b": [(45, 0, 47, 3)], " ": [(0, 0, 90, 90)]}
+    lines = {"a": [(-12, 0, 12, 0)], "c": [(0, 0, 0, 30)]}
+    layer = lambda g: frame(spark, g).selectExpr("g", "cast(x0 as int) % 3 AS tile", "x0", "y0", "x1", "y1")
+    rows = spark.createDataFrame([("a", 0.0), ("a", 2.5), ("a", 5.5)], "g string, position double")
+    got = {r.g: r for r in derive(layer(groups), layer(lines), layer(lanes), rows, "g", "tile", reach=1.0, lone_reach=2.0).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for g in "ab":
+        every = groups[g] + lanes[g] + lines.get(g, [])
+        rings = rings_of(closed(every, 1))
+        assert (got[g].canopy_area, got[g].interrow_area, got[g].outline_area) == (len(painted(groups[g])), len(painted(lanes[g])), len(closed(every, 1)))
+        assert (got[g].n_parts, got[g].n_holes) == (sum(n for r, n in rings.items() if r[0] > 0), sum(n for r, n in rings.items() if r[0] < 0))
+        assert got[g].n_canopies == len(groups[g]) and got[g].outline_length == sum(r[1] * n for r, n in rings.items())
+    assert got["a"].n_rows == 3 and got["a"].spacing_med == 2.75 and got["a"].row_length == 24
+    assert (got["c"].outline_area, got["c"].canopy_area, got["c"].row_length, got["c"].n_parts) == (4 * 34, 0, 30, 1)
