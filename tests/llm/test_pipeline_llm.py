@@ -59,4 +59,4 @@ def test_import_guard():
     import __spark_entry__ as e
 
     assert {"pipeline", *(n for n in e.queries() if n.startswith("op"))} <= set(e.queries())
-    assert len([n for n in e.queries() if re.match(r"op\d+_", n)]) == 10
+    assert len([n for n in e.queries() if re.match(r"op\d+_", n)]) == 13
