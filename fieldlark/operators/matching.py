@@ -292,6 +292,7 @@ def merge_decisions(candidates: DataFrame, decisions: DataFrame, tile: str, key:
     mine = candidates.select(F.col(key).alias("k"), F.col(tile).alias("t"), *(F.col(b).alias(n) for b, n in zip(box, BOX)))
     theirs = d.select("line_", "decision_", F.col("d_tile").alias("t"), *(F.col(f"d_{b}").alias(n) for b, n in zip(box, BOX)))
     hit = iou_pairs(mine, theirs, keys=["t"]).where(F.col("iou") >= least).select(F.col("l_k").alias(key), F.col("r_line_").alias("line_"), F.col("r_decision_").alias("decision_"))
+    hit = Steps(candidates.sparkSession).put("hit", hit)
     last = hit.groupBy(key).agg(F.max_by("decision_", "line_").alias("last_"))
     kept = candidates.join(last, key, "left").where(F.coalesce("last_", F.lit("")) != "reject").select(tile, F.col(key).cast("string").alias(key), *box, F.when(F.col("last_").isNotNull(), "confirmed").otherwise("auto").alias("origin"))
     alone = d.where(F.col("decision_").isin("accept", "add")).join(hit.select("line_").distinct(), "line_", "left_anti")

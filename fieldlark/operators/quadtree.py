@@ -107,6 +107,8 @@ def quadtree(boxes: DataFrame, box: Sequence[str] = BOX, *, most: int = 2_000, d
     half = 2.0 ** (math.floor(math.log2(max(e.x1 - e.x, e.y1 - e.y, 2.0**-20))) + 1)
     left, low, side = math.floor(e.x / half) * half, math.floor(e.y / half) * half, 2 * half
     limit = max(most, -(-3 * deepest * e.n // most_cells))
+    if e.n <= limit:
+        return Quadtree(left, low, side, np.zeros(0, np.int64))
     steps = Steps(boxes.sparkSession)
     place = lambda c, at: F.floor((F.col(c) - at) / side * (1 << deepest))
     open_ = steps.put("corners", sides.groupBy(place("x", left).alias("x"), place("y", low).alias("y")).agg(F.count(F.lit(1)).alias("n")))
