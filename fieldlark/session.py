@@ -43,6 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if held.isDefined():
         return held.get()
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
