@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import library, linking, relational, routing, structural, surfaces, validation  # noqa: F401
+from . import crowns, library, linking, relational, routing, structural, surfaces, validation  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
