@@ -1,4 +1,4 @@
-"""Queries of crowns: masks cut at necks."""
+"""Queries of crowns cut at necks and of objects cut by the edges of tiles."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldlark.operators import labelling as L
 from fieldlark.operators import necks as N
+from fieldlark.operators import tile_edges as E
 
 from .registry import Tables, query
 
@@ -47,3 +48,29 @@ def neck_cuts(t: Tables) -> DataFrame:
     cuts, pixels = N.necks(labelled, _NECKS)
     cleared = pixels.join(cuts, ["place", "slice"]).groupBy("place", "slice", "depth").agg(F.count(F.lit(1)).alias("n_cleared"))
     return cleared.join(L.places(labelled).select("place", "first_y", "first_x"), "place").drop("place")
+
+
+# --- boxes cut by the edges of tiles -----------------------------------------------------------------------
+
+_CUT = "SELECT s_suppkey AS k, s_suppkey % 5 AS r, s_suppkey // 5 % 20 AS c, (s_suppkey * 7 % 13 * 3)::DOUBLE AS x0, (s_suppkey * 11 % 13 * 3)::DOUBLE AS y0, (s_suppkey * 7 % 13 * 3 + 12)::DOUBLE AS x1, (s_suppkey * 11 % 13 * 3 + 8 + s_suppkey % 4)::DOUBLE AS y1 FROM supplier"
+
+
+@query(
+    "halves_of_objects",
+    f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (ORDER BY r, c, y0, x0, x1, y1, k) AS o FROM ({_CUT})),
+e AS (SELECT p.o AS i, q.o AS j, (least(p.y1, q.y1) - greatest(p.y0, q.y0)) / least(p.y1 - p.y0, q.y1 - q.y0) AS share FROM b p JOIN b q ON p.r = q.r AND p.c + 1 = q.c AND p.x1 >= 46 AND q.x0 <= 2
+UNION ALL SELECT p.o, q.o, (least(p.x1, q.x1) - greatest(p.x0, q.x0)) / least(p.x1 - p.x0, q.x1 - q.x0) FROM b p JOIN b q ON p.c = q.c AND p.r + 1 = q.r AND p.y1 >= 46 AND q.y0 <= 2),
+n AS (SELECT i, j, row_number() OVER (ORDER BY share DESC, i, j) AS k FROM e WHERE share >= 0.5),
+t(k, used, i, j) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
+SELECT n.k, CASE WHEN list_contains(used, n.i) OR list_contains(used, n.j) THEN used ELSE list_concat(used, [n.i, n.j]) END, CASE WHEN list_contains(used, n.i) OR list_contains(used, n.j) THEN NULL ELSE n.i END, n.j FROM t JOIN n ON n.k = t.k + 1),
+p AS (SELECT i, j FROM t WHERE i IS NOT NULL), l AS (SELECT o, row_number() OVER (ORDER BY o) AS name FROM b WHERE o NOT IN (SELECT j FROM p)),
+h AS (SELECT i AS o, i AS lead, 'a' AS half FROM p UNION ALL SELECT j, i, 'b' FROM p)
+SELECT b.k, 'W' || CASE WHEN name < 10000 THEN lpad(name::VARCHAR, 4, '0') ELSE name::VARCHAR END || coalesce(half, '') AS object_name FROM b LEFT JOIN h ON h.o = b.o JOIN l ON l.o = coalesce(h.lead, b.o)""",
+)
+def halves_of_objects(t: Tables) -> DataFrame:
+    """Boxes on both sides of a tile's edge paired one to one, all objects numbered."""
+    k = F.col("s_suppkey")
+    x, y = k * 7 % 13 * 3, k * 11 % 13 * 3
+    corners = ((x, "x0"), (y, "y0"), (x + 12, "x1"), (y + 8 + k % 4, "y1"))
+    boxes = t.supplier.select(k.alias("k"), (k % 5).alias("r"), (F.floor(k / 5) % 20).alias("c"), *(v.cast("double").alias(n) for v, n in corners))
+    return E.object_names(boxes, "r", "c", "k", 48, "W", tol=2).select("k", "object_name")
