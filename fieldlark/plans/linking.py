@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlark.operators import links as L
+from fieldlark.operators import piece_links as PL
 
 from .registry import Tables, query
 
@@ -154,3 +155,41 @@ def edit_rows(t: Tables) -> DataFrame:
     kind = F.when(s % 3 == 0, "delete").when(s % 3 == 1, "extend").otherwise("add")
     edits = t.supplier.select(s.alias("k"), (s % 97).alias("b"), *(c.cast("double").alias(n) for c, n in (((s * 19) % 500, "v"), (s % 50, "x0"), (200 + s % 300, "x1"))), kind.alias("kind"))
     return L.edit_rows(rows, edits, tile="b", row="k", at="v", start="x0", stop="x1", kind="kind", tol=15.0)
+
+
+# --- pieces between lines ----------------------------------------------------------------------------------
+
+_LINE = "SELECT s_suppkey AS k, s_suppkey % 5 AS b, s_suppkey % 3 AS t, s_suppkey // 5 AS i, unnest([0, 1, 2]) AS q, s_suppkey * 7 % 40 + 30.0::DOUBLE * q AS s, (s_suppkey // 5 * 4 + CASE WHEN q = 1 THEN 2 ELSE 0 END)::DOUBLE AS o FROM supplier"
+_XY = "{s} * 0.6::DOUBLE - {o} * 0.8::DOUBLE AS x, {s} * 0.8::DOUBLE + {o} * 0.6::DOUBLE AS y"
+_FRAME = "x * 0.6::DOUBLE + y * 0.8::DOUBLE AS s, y * 0.6::DOUBLE - x * 0.8::DOUBLE AS o"
+
+
+@query(
+    "spaces_between_lines",
+    f"""WITH v AS (SELECT k, b, t, i, {_FRAME} FROM (SELECT k, b, t, i, {_XY.format(s='s', o='o')} FROM ({_LINE}))),
+l AS (SELECT k, b, t, i, list(s ORDER BY s) AS s, list(o ORDER BY s) AS o FROM v GROUP BY ALL),
+p AS (SELECT p, b, t, {_FRAME} FROM (SELECT p, b, t, {_XY.format(s='s', o='o')} FROM (SELECT p_partkey AS p, p_partkey % 5 AS b, p_partkey % 3 AS t, (p_partkey * 13 % 120)::DOUBLE AS s, p_partkey * 17 % 97 + 0.5::DOUBLE AS o FROM part))),
+j AS (SELECT p.p, p.b, l.k, p.t = l.t AS same, p.s >= l.s[1] - 2 AND p.s <= l.s[3] + 2 AS covers,
+  CASE WHEN p.s < l.s[1] THEN l.o[1] WHEN p.s >= l.s[3] THEN l.o[3] WHEN p.s < l.s[2] THEN l.o[1] + (p.s - l.s[1]) * (l.o[2] - l.o[1]) / (l.s[2] - l.s[1]) ELSE l.o[2] + (p.s - l.s[2]) * (l.o[3] - l.o[2]) / (l.s[3] - l.s[2]) END - p.o AS far FROM p LEFT JOIN l ON l.b = p.b),
+m AS (SELECT p, b, min(struct_pack(d := abs(far), k := k)) FILTER (same AND far > 0) AS l1, min(struct_pack(d := abs(far), k := k)) FILTER (same AND far < 0) AS r1, min(struct_pack(d := abs(far), k := k)) FILTER (covers AND far > 0) AS l2, min(struct_pack(d := abs(far), k := k)) FILTER (covers AND far < 0) AS r2
+  FROM (SELECT p, b, k, same, covers, CASE WHEN abs(far) <= 6 THEN far END AS far FROM j) GROUP BY p, b),
+n AS (SELECT p, b, coalesce(l1, l2) AS l, coalesce(r1, r2) AS r, CASE WHEN l1 IS NOT NULL AND r1 IS NOT NULL THEN 'tile' WHEN coalesce(l1, l2) IS NOT NULL AND coalesce(r1, r2) IS NOT NULL THEN 'block' ELSE 'none' END AS method FROM m),
+s AS (SELECT DISTINCT b, least(l.k // 5, r.k // 5) AS low, greatest(l.k // 5, r.k // 5) AS high FROM n WHERE l IS NOT NULL AND r IS NOT NULL), c AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY low, high) AS c FROM s),
+f AS (SELECT *, c + greatest(0, max(low - c) OVER (PARTITION BY b ORDER BY low, high)) AS space FROM c)
+SELECT n.p, n.b, l.k AS "left", r.k AS "right", {_R6.format('l.d')} AS left_offset, {_R6.format('r.d')} AS right_offset, method, 'V' || n.b || '-I' || lpad(space::VARCHAR, 3, '0') AS space
+FROM n LEFT JOIN f ON f.b = n.b AND f.low = least(n.l.k // 5, n.r.k // 5) AND f.high = greatest(n.l.k // 5, n.r.k // 5) AND n.l IS NOT NULL AND n.r IS NOT NULL""",
+)
+def spaces_between_lines(t: Tables) -> DataFrame:
+    """Pieces linked to bent lines on both sides, of their tile first, then of their block; the spaces numbered."""
+    xy = lambda s, o: (s * 0.6 - o * 0.8, s * 0.8 + o * 0.6)
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    i = F.floor(k / 5)
+    corners = [xy(k * 7 % 40 + 30.0 * q, (i * 4 + (2 if q == 1 else 0)).cast("double")) for q in (0, 1, 2)]
+    lines = t.supplier.select(k.alias("k"), (k % 5).alias("b"), (k % 3).alias("t"), i.alias("i"), F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in corners)).alias("line"))
+    x, y = xy((p * 13 % 120).cast("double"), p * 17 % 97 + 0.5)
+    pieces = t.part.select(p.alias("p"), (p % 5).alias("b"), (p % 3).alias("t"), x.alias("x"), y.alias("y"))
+    axes = t.supplier.select((k % 5).alias("b")).distinct().select("b", F.lit(0.6).alias("ux"), F.lit(0.8).alias("uy"))
+    linked = PL.link_pieces_to_lines(pieces, lines, lines.drop("t"), axes, block="b", tile="t", piece="p", row="k", points="line", most=6.0, cover=2.0)
+    r6 = lambda c: (F.floor(F.col(c) * 1000000 + 0.5) / 1000000).alias(c)
+    named = PL.numbered_spaces(linked, lines, block="b", row="k", index="i")
+    return named.select("p", "b", "left", "right", r6("left_offset"), r6("right_offset"), "method", PL.space_name(F.concat(F.lit("V"), F.col("b").cast("string")), F.col("space")).alias("space"))
