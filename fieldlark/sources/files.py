@@ -88,7 +88,7 @@ _SHAPE = "struct<_label:string,_points:string,_xtl:double,_ytl:double,_xbr:doubl
 
 
 def read_annotations(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, image, width, height, shape, label, points, box, rle, attributes) of every shape of the exports."""
+    """(file, image, width, height, seq, shape, label, points, box, rle, attributes) of every shape of the exports; seq counts lines, then polygons, boxes, masks."""
     kinds = ("polyline", "polygon", "box", "mask")
     schema = "_name string, _width int, _height int, " + ", ".join(f"{k} array<{_SHAPE}>" for k in kinds)
     images = spark.read.format("xml").option("rowTag", "image").schema(schema).load(list(paths)).withColumn("file", F.col("_metadata.file_name"))
@@ -99,8 +99,8 @@ def read_annotations(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     each = F.concat(*map(tagged, kinds))
     number = F.transform(F.split("x.s._points", "[;,]"), lambda v: v.try_cast("double"))
     attributes = F.map_from_entries(F.transform(F.coalesce("x.s.attribute", F.array().cast("array<struct<_VALUE:string,_name:string>>")), lambda a: F.struct(F.trim(a["_name"]), F.trim(a["_VALUE"]))))
-    return images.select("file", F.col("_name").alias("image"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.explode(each).alias("x")).select(
-        "file", "image", "width", "height", "x.shape", F.col("x.s._label").alias("label"), number.alias("points"),
+    return images.select("file", F.col("_name").alias("image"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.posexplode(each).alias("seq", "x")).select(
+        "file", "image", "width", "height", "seq", "x.shape", F.col("x.s._label").alias("label"), number.alias("points"),
         F.when(F.col("x.s._xtl").isNotNull(), F.array("x.s._xtl", "x.s._ytl", "x.s._xbr", "x.s._ybr")).alias("box"),
         F.col("x.s._rle").alias("rle"), F.array("x.s._left", "x.s._top", "x.s._width", "x.s._height").alias("frame"), attributes.alias("attributes"),
     )
@@ -116,15 +116,33 @@ def clean_attribute(attributes: Column, name: str, allowed: Sequence[str], synon
     return normalize_enum(F.try_element_at(attributes, F.lit(name)), allowed, synonyms)
 
 
+def _rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A root around the lines of a partition, which become a file: readers stop after a first element without one."""
+    held, first = pd.DataFrame({"value": [""]}), True
+    for g in batches:
+        if len(g):
+            if not first:
+                yield held
+            held = g if not first else g.assign(value=["<annotations>" + g["value"].iloc[0], *g["value"].iloc[1:]])
+            first = False
+    if first:
+        held = pd.DataFrame({"value": ["<annotations>"]})
+    yield held.assign(value=[*held["value"].iloc[:-1], held["value"].iloc[-1] + "</annotations>"])
+
+
 def write_annotations(shapes: DataFrame, path: str, *, decimals: int = 2) -> None:
-    """An <image> element per row of text, shapes and attributes in order. shapes: (image, seq, shape, label, points, attributes)."""
+    """Files with a root of their own and an <image> element per line, shapes and attributes in order. shapes: (image, seq, shape, label, points, attributes), width and height if there are any; a box has its corners as points."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     n = F.size("points") / 2
     pair = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.concat_ws(",", *(F.format_string(f"%.{decimals}f", F.get("points", i * 2 + k)) for k in (0, 1))))
     inner = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(F.lit('<attribute name="'), esc(e["key"]), F.lit('">'), esc(e["value"]), F.lit("</attribute>"))), "")
-    text = F.concat(F.lit("<"), F.col("shape"), F.lit(' label="'), esc(F.col("label")), F.lit('" points="'), F.array_join(pair, ";"), F.lit('">'), inner, F.lit("</"), F.col("shape"), F.lit(">"))
-    per = shapes.select("image", F.struct("seq", text.alias("t")).alias("x")).groupBy("image").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    per.select(F.concat(F.lit('<image name="'), esc(F.col("image")), F.lit('">'), F.array_join(F.transform("xs", lambda x: x["t"]), ""), F.lit("</image>")).alias("value")).write.mode("overwrite").text(path)
+    corner = lambda name, k: (F.lit(f'" {name}="'), F.format_string(f"%.{decimals}f", F.get("points", F.lit(k))))
+    place = F.when(F.col("shape") == "box", F.concat(*corner("xtl", 0), *corner("ytl", 1), *corner("xbr", 2), *corner("ybr", 3))).otherwise(F.concat(F.lit('" points="'), F.array_join(pair, ";")))
+    text = F.concat(F.lit("<"), F.col("shape"), F.lit(' label="'), esc(F.col("label")), place, F.lit('">'), inner, F.lit("</"), F.col("shape"), F.lit(">"))
+    size = F.concat(*(F.coalesce(F.concat(F.lit(f' {c}="'), F.max(c).cast("string"), F.lit('"')), F.lit("")) for c in ("width", "height") if c in shapes.columns), F.lit(""))
+    sized = [c for c in ("width", "height") if c in shapes.columns]
+    per = shapes.select("image", *sized, F.struct("seq", text.alias("t")).alias("x")).groupBy("image").agg(F.array_sort(F.collect_list("x")).alias("xs"), size.alias("size"))
+    per.select(F.concat(F.lit('<image name="'), esc(F.col("image")), F.lit('"'), F.col("size"), F.lit(">"), F.array_join(F.transform("xs", lambda x: x["t"]), ""), F.lit("</image>")).alias("value")).mapInPandas(_rooted, "value string").write.mode("overwrite").text(path)
 
 
 # --- measurement report ------------------------------------------------------------------------------------
