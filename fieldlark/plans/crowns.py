@@ -1,4 +1,4 @@
-"""Queries of crowns cut at necks and of objects cut by the edges of tiles."""
+"""Queries of crowns cut at necks, of objects cut by the edges of tiles and of annotation documents."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldlark.operators import labelling as L
 from fieldlark.operators import necks as N
 from fieldlark.operators import tile_edges as E
+from fieldlark.sources import conversion as D
 
 from .registry import Tables, query
 
@@ -74,3 +75,33 @@ def halves_of_objects(t: Tables) -> DataFrame:
     corners = ((x, "x0"), (y, "y0"), (x + 12, "x1"), (y + 8 + k % 4, "y1"))
     boxes = t.supplier.select(k.alias("k"), (k % 5).alias("r"), (F.floor(k / 5) % 20).alias("c"), *(v.cast("double").alias(n) for v, n in corners))
     return E.object_names(boxes, "r", "c", "k", 48, "W", tol=2).select("k", "object_name")
+
+
+# --- annotation documents ----------------------------------------------------------------------------------
+
+
+@query(
+    "document_layers",
+    """WITH s AS (SELECT c_custkey AS k FROM customer), o AS (SELECT 'row_pieces' AS name, 2.5::DOUBLE AS m FROM s WHERE k % 4 = 0 AND k % 12 <> 0 AND k % 20 <> 0 UNION ALL SELECT 'canopies', (3 + k % 5) * 0.5::DOUBLE FROM s WHERE k % 4 = 1
+UNION ALL SELECT 'waste', 1.5::DOUBLE FROM s WHERE k % 4 = 2 UNION ALL SELECT 'interrow_pieces', 1.0::DOUBLE FROM s WHERE k % 4 = 3 AND k % 7 <> 0
+UNION ALL SELECT 'missing_attr', NULL FROM s WHERE k % 12 = 0 UNION ALL SELECT 'geom_dropped', NULL FROM s WHERE k % 4 = 0 AND k % 20 = 0 AND k % 12 <> 0 UNION ALL SELECT 'enum_normalized', NULL FROM s WHERE k % 8 = 0
+UNION ALL SELECT 'geom_repaired', NULL FROM s WHERE k % 4 = 2 UNION ALL SELECT 'schema_violation', NULL FROM s WHERE k % 4 = 3 AND k % 7 = 0 UNION ALL SELECT 'bad_enum', NULL FROM s WHERE k % 4 = 3 AND k % 7 <> 0 AND k % 5 = 0)
+SELECT name, count(*) AS n, sum(m) AS measure FROM o GROUP BY name""",
+)
+def document_layers(t: Tables) -> DataFrame:
+    """Shapes of a document as layers with their lengths and areas, and its issues by code."""
+    k = F.col("c_custkey")
+    a, b = (k % 100).cast("double"), (k % 50).cast("double")
+    kind = F.when(k % 4 == 0, "polyline").when((k % 4 == 2) | ((k % 4 == 3) & (k % 7 == 0)), "box").otherwise("polygon")
+    label = F.element_at(F.array(*map(F.lit, ("row", "vineyard", "waste", "interrow_area"))), (k % 4 + 1).cast("int"))
+    line = F.when(k % 20 == 0, F.array(a, b, a, b + 0.5)).otherwise(F.array(a, b, a + 3, b + 4))
+    points = F.when(k % 4 == 0, line).when(k % 4 == 1, F.array(a, b, a + 3 + k % 5, b, a, b + 4)).when(k % 4 == 2, F.array(a + 2, b + 3, a, b)).otherwise(F.array(a, b, a + 2, b, a, b + 4))
+    values = {"vineyard_id": F.lit("V01"), "row_id": F.when(k % 12 == 0, "").otherwise(F.concat(F.lit("V01-R"), k.cast("string"))), "row_structure": F.when(k % 8 == 0, "Regular").otherwise("regular"), "interrow_cover": F.when(k % 5 == 0, "odd").otherwise("bare")}
+    tile = F.concat(F.lit("site_r00"), (k % 3).cast("string"), F.lit("_c00"), (F.floor(k / 3) % 4).cast("string"))
+    shapes = t.customer.select(tile.alias("tile"), F.lit(2048).alias("width"), F.lit(2048).alias("height"), k.alias("seq"), kind.alias("kind"), label.alias("label"), points.alias("points"), F.create_map(*(x for n, v in values.items() for x in (F.lit(n), v))).alias("attributes"))
+    tiles = shapes.select(F.col("tile").alias("tile_id")).distinct().select("tile_id", F.lit(1000.0).alias("x0"), F.lit(5000.0).alias("y0"), F.lit(0.5).alias("gsd_m"))
+    objects, issues = D.document_objects(shapes, tiles)
+    out = issues.groupBy(F.col("code").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("measure"))
+    for name, df in D.to_layers(objects, source="manual", run_id="r").items():
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("n"), F.sum("length_m" if name == "row_pieces" else "area_m2").alias("measure")).select(F.lit(name).alias("name"), "n", "measure"))
+    return out
