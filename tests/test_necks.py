@@ -54,7 +54,7 @@ def cut(place, how):
     return {p: k for p, k in of.items() if k in taken}
 
 
-@pytest.mark.parametrize("seed, how", [(2, N.Necks(30, 0.6, 10, 20, 60, 3)), (3, N.Necks(16, 0.95, 2, 30, 1))])
+@pytest.mark.parametrize("seed, how", [(1, N.Necks(24, 0.8, 6, 14, 12)), (2, N.Necks(30, 0.6, 10, 20, 60, 3)), (3, N.Necks(16, 0.95, 2, 30, 1))])
 def test_against_one_by_one(spark, seed, how):
     frame = spark.createDataFrame([("m", x, y) for x, y in plants(seed)], "layer string, x long, y long").repartition(4)
     labelled = L.label_runs(L.pixel_runs(frame, ["layer"], block=32), ["layer"], diagonal=True)
