@@ -280,20 +280,19 @@ def nms_1d(t: Tables) -> DataFrame:
     return M.suppress(b, "tile", "k", "rank", limit=0.2, cell=8).where("kept").select("tile", "k")
 
 
-def _candidates(t: Tables) -> DataFrame:
+def _matched(t: Tables, method: str) -> DataFrame:
     b = _boxes(t).withColumn("tile", F.col("k") % 20)
-    p = P.iou_pairs(b, _zones(t), cell=8)
-    return p.select(F.col("l_tile").alias("tile"), F.col("l_k").alias("l"), F.col("r_k").alias("r"), F.col("iou").alias("score"))
+    return M.match_boxes(b, _zones(t), "tile", "k", "k", cell=8, least=0.1, method=method)
 
 
 @query("greedy_match")
 def greedy_match(t: Tables) -> DataFrame:
-    return M.match(_candidates(t), "tile", "l", "r", "score", least=0.1)
+    return _matched(t, "greedy")
 
 
 @query("optimal_match")
 def optimal_match(t: Tables) -> DataFrame:
-    return M.match(_candidates(t), "tile", "l", "r", "score", least=0.1, method="optimal")
+    return _matched(t, "optimal")
 
 
 @query("dedupe_points")

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fieldlark.operators import matching as M
 from fieldlark.operators import spatial as P
 
 BOX = "x0 double, y0 double, x1 double, y1 double"
@@ -47,3 +48,30 @@ def test_best_block_searches_places_not_rows(spark):
     got = P.best_block(spark.createDataFrame(a, f"k int, {BOX}"), spark.createDataFrame(b, f"block int, {BOX}"), "k", "block", cell=8, limit=2.0)
     assert {x.k: x.block for x in got.collect()} == want
     assert rows_of_joins(got) <= 601
+
+
+def _of_copies(spark):
+    r = random.Random(2)
+    left, right = [(k % 2, *x) for x in boxes(r, 120, 9) for k in x[:1]], boxes(r, 60, 7)
+    return spark.createDataFrame(left, f"tile int, k long, {BOX}"), spark.createDataFrame(right, f"k long, {BOX}")
+
+
+def test_greedy_match_of_copies_lists_no_pairs(spark):
+    left, right = _of_copies(spark)
+    pairs = P.iou_pairs(left, right, cell=8).select(F.col("l_tile").alias("tile"), F.col("l_k").alias("l"), F.col("r_k").alias("r"), F.col("iou").alias("score"))
+    got = M.match_boxes(left, right, "tile", "k", "k", cell=8, least=0.1)
+    assert sorted(got.collect()) == sorted(M.match(pairs, "tile", "l", "r", "score", least=0.1).collect())
+    assert rows_of_joins(got) <= 240
+    assert M.match_boxes(left.limit(0), right, "tile", "k", "k", cell=8, least=0.1).count() == 0
+
+
+def test_optimal_match_of_copies_lists_no_pairs(spark):
+    left, right = _of_copies(spark)
+    pairs = P.iou_pairs(left, right, cell=8).select(F.col("l_tile").alias("tile"), F.col("l_k").alias("l"), F.col("r_k").alias("r"), F.col("iou").alias("score"))
+    total = lambda rows: {g: (sum(x.tile == g for x in rows), round(sum(x.score for x in rows if x.tile == g), 6)) for g in (0, 1)}
+    got = M.match_boxes(left, right, "tile", "k", "k", cell=8, least=0.1, method="optimal")
+    rows = got.collect()
+    assert total(rows) == total(M.match(pairs, "tile", "l", "r", "score", least=0.1, method="optimal").collect())
+    assert {tuple(x) for x in rows} <= {tuple(x) for x in pairs.collect()}
+    assert len({(x.tile, x.l) for x in rows}) == len(rows) == len({(x.tile, x.r) for x in rows})
+    assert rows_of_joins(got) <= 240
