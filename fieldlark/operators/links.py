@@ -104,12 +104,15 @@ def calibrated_threshold(scores: DataFrame, *, score: str, negative: Column, sur
 
 
 def _near(a: DataFrame, b: DataFrame, keys: list[str], at: str, reach: float) -> DataFrame:
-    """Pairs of rows of a and b with equal keys and positions at most reach apart; columns get _a and _b. Each pair comes once."""
+    """Pairs of rows of a and b with equal keys and positions at most reach apart; columns get _a and _b. Each pair comes once.
+
+    Sorted on both sides: files are small for their rows, so the engine would send a whole side through the driver.
+    """
     cell = F.floor(F.col(at) / reach)
     spread = b.withColumn("cell_", F.explode(F.array(cell - 1, cell, cell + 1)))
     left = a.withColumn("cell_", cell).select(*keys, "cell_", *(F.col(c).alias(f"{c}_a") for c in a.columns if c not in keys))
     right = spread.select(*keys, "cell_", *(F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys))
-    return left.join(right, [*keys, "cell_"]).drop("cell_").where(F.abs(F.col(f"{at}_a") - F.col(f"{at}_b")) <= reach)
+    return left.join(right.hint("merge"), [*keys, "cell_"]).drop("cell_").where(F.abs(F.col(f"{at}_a") - F.col(f"{at}_b")) <= reach)
 
 
 def neighbour_pairs(rows: DataFrame, *, block: str, row: str, at: str, start: str, stop: str, pitch: float, line: float, gap: float) -> DataFrame:
