@@ -100,11 +100,24 @@ def assemble_graph(lines: DataFrame, connectors: DataFrame) -> DataFrame:
     return made.unionByName(connectors.select("a", "b", F.col("length").cast("long").alias("length"), F.lit("connector").alias("kind")))
 
 
+def merged_along(boxes: DataFrame) -> DataFrame:
+    """Boxes that cover the same ground: those of one lower and upper edge that touch are one, so crowds and copies fold."""
+    sides = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    b = boxes.select(*sides).dropna()
+    plain = (F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))
+    w = Window.partitionBy("y0", "y1").orderBy("x0", "x1")
+    one = b.where(plain).groupBy("y0", "y1", "x0").agg(F.max("x1").alias("x1"))
+    new = F.col("x0") > F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    joined = one.withColumn("new_", new).withColumn("run_", F.sum(F.coalesce(F.col("new_"), F.lit(True)).cast("int")).over(w))
+    joined = joined.groupBy("y0", "y1", "run_").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    return joined.select("x0", "y0", "x1", "y1").unionAll(b.where(~plain).distinct())
+
+
 def outside_lengths(segments: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
     """(key, length, outside): how much of each straight segment (x0, y0 to x1, y1) no box covers."""
     s = segments.select(F.col(key).alias("k"), F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
     framed = s.withColumns({"x0": F.least("sx", "tx"), "y0": F.least("sy", "ty"), "x1": F.greatest("sx", "tx"), "y1": F.greatest("sy", "ty")})
-    met = box_join(framed, boxes.select("x0", "y0", "x1", "y1"))
+    met = box_join(framed, merged_along(boxes))
 
     def clip(start: str, end: str, low: str, high: str) -> tuple[Column, Column]:
         """The share of the segment, from and to, within two parallel lines."""
