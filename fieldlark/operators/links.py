@@ -153,9 +153,10 @@ def edit_rows(rows: DataFrame, edits: DataFrame, *, tile: str, row: str, at: str
     Delete and extend mean the nearest row of the tile within tol (ties: least row); others have no effect. Delete wins over
     extend; several extends reach over all their spans. Added rows bear the edit's number.
     """
-    meant = _near(edits.where(F.col(kind) != "add"), rows, [tile], at, tol)
-    nearest = meant.groupBy(tile, f"{row}_a", f"{kind}_a").agg(F.min(F.struct(F.abs(F.col(f"{at}_a") - F.col(f"{at}_b")), f"{row}_b")).getField(f"{row}_b").alias(row), F.min(f"{start}_a").alias("low_"), F.max(f"{stop}_a").alias("high_"))
-    by_row = nearest.groupBy(tile, row).agg(F.max(F.col(f"{kind}_a") == "delete").alias("gone_"), F.min("low_").alias("low_"), F.max("high_").alias("high_"))
+    changes = edits.where(F.col(kind) != "add").groupBy(tile, at).agg(F.max(F.col(kind) == "delete").alias("gone_"), F.min(start).alias("low_"), F.max(stop).alias("high_"))
+    firsts = rows.groupBy(tile, at).agg(F.min(row).alias(row))  # of rows at one position only the least is meant
+    meant = _near(changes, firsts, [tile], at, tol).groupBy(tile, f"{at}_a").agg(F.min(F.struct(F.abs(F.col(f"{at}_a") - F.col(f"{at}_b")), f"{row}_b")).getField(f"{row}_b").alias(row), *(F.first(f"{c}_a").alias(c) for c in ("gone_", "low_", "high_")))
+    by_row = meant.groupBy(tile, row).agg(F.max("gone_").alias("gone_"), F.min("low_").alias("low_"), F.max("high_").alias("high_"))
     kept = rows.join(by_row, [tile, row], "left").where("gone_ IS NULL OR NOT gone_")
     action = F.when(F.col("gone_").isNull(), "kept").otherwise("extended")
     kept = kept.select(tile, row, at, F.least(start, "low_").alias(start), F.greatest(stop, "high_").alias(stop), action.alias("action"))
