@@ -28,7 +28,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     partition are made stars there. All keep what is connected; rounds grow with
     the logarithm of the graph's length at most and end when each node hangs on
     the least of its component. Least nodes are tables of their own, so both
-    sides of a join are plain shuffles and the engine's skew join can split a hub.
+    sides of a join are plain shuffles (asked for: files are small for their rows,
+    and nothing goes through the driver) and the engine's skew join can split a hub.
     """
     steps = Steps(edges.sparkSession)
     every = steps.put("edges", edges.select("a", "b"))
@@ -36,14 +37,14 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     while True:
         low = steps.put("low", links.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")))
         up = low.select(F.col("a").alias("b"), "low")
-        if low.where("n > 1").isEmpty() and links.join(up, "b", "left_semi").isEmpty():
+        if low.where("n > 1").isEmpty() and links.join(up.hint("merge"), "b", "left_semi").isEmpty():
             break
-        large = steps.put("large", links.join(up, "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct())
+        large = steps.put("large", links.join(up.hint("merge"), "b", "left").select("a", F.coalesce("low", "b").alias("b")).distinct())
         low = steps.put("low", large.groupBy("a").agg(F.min("b").alias("low")))
-        side = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        side = large.join(low.hint("merge"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         links = steps.put("links", _local_stars(side.union(low.select("a", F.col("low").alias("b"))).distinct()))
     known = every.select(F.col("a").alias("node")).union(every.select("b")).distinct() if nodes is None else nodes.select("node")
-    return known.join(links.withColumnsRenamed({"a": "node", "b": "component"}), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return known.join(links.withColumnsRenamed({"a": "node", "b": "component"}).hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _local_stars(links: DataFrame) -> DataFrame:
