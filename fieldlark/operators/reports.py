@@ -76,15 +76,17 @@ def unknown_blocks(objects: DataFrame, blocks: DataFrame, key: str, block: str)
 
 def close_blocks(blocks: DataFrame, key: str, *, cell: float, gap: float, passages: DataFrame | None = None) -> DataFrame:
     """(a, b) of blocks nearer than ``gap`` by their boxes, but for those with a passage box between both."""
-    pairs = box_join(blocks.select(key, *_BOX), blocks.select(key, *_BOX), cell=cell, grow=gap).where(F.col(f"l_{key}") < F.col(f"r_{key}"))
+    b = blocks.select(key, *_BOX)
+    if passages is not None:  # each block brings its passages along: pairs are not met again by passage
+        meets = box_join(b, passages.select("passage", *_BOX), cell=cell, grow=gap).groupBy(F.col(f"l_{key}").alias("k_")).agg(F.collect_set("r_passage").alias("ps"))
+        b = b.join(meets, F.col(key) == F.col("k_"), "left").drop("k_")
+    pairs = box_join(b, b, cell=cell, grow=gap).where(F.col(f"l_{key}") < F.col(f"r_{key}"))
     dx = F.greatest(F.lit(0.0), F.greatest("l_x0", "r_x0") - F.least("l_x1", "r_x1"))
     dy = F.greatest(F.lit(0.0), F.greatest("l_y0", "r_y0") - F.least("l_y1", "r_y1"))
-    near = pairs.where(dx * dx + dy * dy < gap * gap).select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))
-    if passages is None:
-        return near
-    meets = box_join(blocks.select(key, *_BOX), passages.select("passage", *_BOX), cell=cell, grow=gap).select(F.col(f"l_{key}").alias("k"), F.col("r_passage").alias("p")).distinct()
-    through = meets.alias("m").join(meets.alias("n"), "p").where("m.k < n.k").select(F.col("m.k").alias("a"), F.col("n.k").alias("b")).distinct()
-    return near.join(through, ["a", "b"], "left_anti")
+    near = pairs.where(dx * dx + dy * dy < gap * gap)
+    if passages is not None:
+        near = near.where(~F.coalesce(F.arrays_overlap("l_ps", "r_ps"), F.lit(False)))
+    return near.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"))
 
 
 def pieces_across_tiles(boxes: DataFrame, row: str, col: str, key: str, side: float, *, tol: float) -> DataFrame:
