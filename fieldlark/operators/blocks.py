@@ -81,7 +81,9 @@ def span_matches(pred: DataFrame, ref: DataFrame, group: str, key: str, *, tol:
     at ``least`` or more. Ties go to the least key. Spans of one side and place
     don't overlap, so for least > 0.5 rivals can only lie at other positions.
     """
-    side = lambda df, p: df.where("x0 < x1").select(F.col(group).alias(f"{p}group"), F.col(key).alias(f"{p}key"), F.col("position").alias(f"{p}at"), F.col("x0").alias(f"{p}x0"), F.col("x1").alias(f"{p}x1"))
+    firsts = lambda df: df.where("x0 < x1").groupBy(group, "position", "x0", "x1").agg(F.min(key).alias(key))
+    side = lambda df, p: firsts(df).select(F.col(group).alias(f"{p}group"), F.col(key).alias(f"{p}key"), F.col("position").alias(f"{p}at"), F.col("x0").alias(f"{p}x0"), F.col("x1").alias(f"{p}x1"))
+    Of equal spans of one side only the one with the least key can be a best.
     width = tol if tol > 0 else 1.0
     cell = F.floor(F.col("l_at") / width)
     left = side(pred, "l_").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
