@@ -29,8 +29,10 @@ def outline_parts(objects: DataFrame, block: str, key: str, *, cell: float, reac
     Boxes of a block at most ``reach`` apart are one part; a part is named by its least key.
     """
     o = objects.where(F.trim(F.coalesce(F.col(block).cast("string"), F.lit(""))) != "").select(block, key, *_BOX)
-    pairs = box_join(o, o, cell=cell, keys=[block], grow=reach).where((F.col(f"l_{key}") < F.col(f"r_{key}")) & (_gap2("l_", "r_") <= reach * reach))
-    part = components(pairs.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b")), o.select(F.col(key).alias("node")))
+    firsts = o.dropna(subset=_BOX).groupBy(block, *_BOX).agg(F.min(key).alias(key))  # boxes of one place hang on their least, and only those are paired
+    stars = o.join(firsts.withColumnRenamed(key, "first_"), [block, *_BOX]).where(F.col(key) != F.col("first_")).select(F.col("first_").alias("a"), F.col(key).alias("b"))
+    pairs = box_join(firsts, firsts, cell=cell, keys=[block], grow=reach).where((F.col(f"l_{key}") < F.col(f"r_{key}")) & (_gap2("l_", "r_") <= reach * reach))
+    part = components(pairs.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b")).unionAll(stars), o.select(F.col(key).alias("node")))
     named = o.join(part.select(F.col("node").alias(key), F.col("component").alias("part")), key)
     return named.groupBy(block, "part").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
@@ -80,10 +82,10 @@ def span_matches(pred: DataFrame, ref: DataFrame, group: str, key: str, *, tol:
     within ``tol``, by the smaller of the shares of either span in the other,
     at ``least`` or more. Ties go to the least key. Spans of one side and place
     don't overlap, so for least > 0.5 rivals can only lie at other positions.
+    Of equal spans of one side only the one with the least key can be a best.
     """
     firsts = lambda df: df.where("x0 < x1").groupBy(group, "position", "x0", "x1").agg(F.min(key).alias(key))
     side = lambda df, p: firsts(df).select(F.col(group).alias(f"{p}group"), F.col(key).alias(f"{p}key"), F.col("position").alias(f"{p}at"), F.col("x0").alias(f"{p}x0"), F.col("x1").alias(f"{p}x1"))
-    Of equal spans of one side only the one with the least key can be a best.
     width = tol if tol > 0 else 1.0
     cell = F.floor(F.col("l_at") / width)
     left = side(pred, "l_").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
