@@ -6,6 +6,8 @@ Joins meet on block or tile and a cell of the searched distance, never block aga
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,6 +138,48 @@ def adjacent_pairs(pairs: DataFrame) -> DataFrame:
     return beside.join(first.join(second, "mid_").select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
+def adjacent_rows(rows: DataFrame, *, block: str, row: str, at: str, start: str, stop: str, pitch: float, line: float) -> DataFrame:
+    """``adjacent_pairs`` of ``neighbour_pairs``, from the rows: no pair is shuffled.
+
+    All that lies between two rows side by side is near the first of them, so a
+    cell of 2.5 pitches and the next one hold all it takes; a task takes those of
+    a block. Numeric keys and positions.
+    """
+    reach = 2.5 * pitch
+    cell = F.floor(F.col(at) / reach)
+    rows = rows.select(block, row, *(F.col(c).cast("double").alias(c) for c in (at, start, stop))).dropna(subset=[block, at, start, stop])
+    dealt = rows.withColumn("own_", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("cell_", F.when(F.col("own_"), cell).otherwise(cell - 1))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(at)
+        v, low, high, own = (g[c].to_numpy() for c in (at, start, stop, "own_"))
+        first, second = [], []
+        last = np.searchsorted(v, v + reach * (1 + 1e-9), "right")
+        for i in np.flatnonzero(own):
+            j = np.arange(i + 1, last[i])
+            j = j[(v[j] - v[i] > line) & (v[j] - v[i] <= reach) & (np.maximum(low[i], low[j]) - np.minimum(high[i], high[j]) < 0)]
+            k = between_none(v[j], low[j], high[j], line)
+            first.append(np.full(len(k), i))
+            second.append(j[k])
+        a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (first, second))
+        key, kind = g[row].to_numpy(), np.where(v[b] - v[a] <= 1.5 * pitch, "parallel", "skip").astype(object)
+        return pd.DataFrame({"a": key[a], "b": key[b], block: np.full(len(a), g[block].iloc[0]), "kind": kind})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return dealt.groupBy(block, "cell_").applyInPandas(run, f"a {kinds[row]}, b {kinds[row]}, `{block}` {kinds[block]}, kind string")
+
+
+def between_none(v: np.ndarray, low: np.ndarray, high: np.ndarray, line: float, step: int = 16) -> np.ndarray:
+    """Indices of spans, rising in v, that no other one of them overlaps from more than line before."""
+    left = np.arange(len(v))
+    for m in range(0, len(v), step):
+        if not len(left) or v[left[-1]] - v[m] <= line:
+            break
+        x = np.arange(m, min(m + step, len(v)))[:, None]
+        left = left[~((v[left] - v[x] > line) & (np.maximum(low[left], low[x]) - np.minimum(high[left], high[x]) < 0)).any(axis=0)]
+    return left
+
+
 def link_pairs(pieces: DataFrame, *, row: str, col: str, key: str, at: str, start: str, stop: str, offset: float, gap: float) -> DataFrame:
     """Pairs of pieces of touching tiles that may be one row: at most offset aside and gap apart; cost 2 x aside + gap, lesser key first."""
     pieces = pieces.select(row, col, key, at, start, stop)
