@@ -7,7 +7,8 @@ earlier link touches either chain. Each round drops the links of all chains that
 conflict (chains only grow, so what conflicts stays in conflict), settles those
 least on both sides, and keeps the first link between any two chains. The result
 is that of the one-by-one order, ties by key. No block or tile is in one task;
-only what is left once pieces and links are ``settle`` or fewer goes one by one.
+only what is left once links and the pieces of their chains are ``settle`` or
+fewer goes one by one.
 """
 
 from __future__ import annotations
@@ -28,17 +29,19 @@ SETTLE = 200_000  # links and pieces that one pass takes
 def chains(pieces: DataFrame, links: DataFrame, *, overlap: float, settle: int = SETTLE, most_rounds: int = 10_000) -> DataFrame:
     """(piece, chain): chain is its least piece. pieces: (piece, tile, low, high), numbers; links: (a, b, cost, link), link unique."""
     steps = Steps(pieces.sparkSession)
-    small = pieces.count() <= settle
     members = steps.put("members", pieces.select("piece", F.col("piece").alias("chain"), "tile", "low", "high"))
     live = steps.put("live", links.where("a <> b").select("link", "cost", F.least("a", "b").alias("ca"), F.greatest("a", "b").alias("cb")))
     for _ in range(most_rounds):
         if live.isEmpty():
             return members.select("piece", "chain")
-        if small and live.count() <= settle:
+        ends = live.select(F.explode(F.array("ca", "cb")).alias("chain")).distinct()
+        if live.count() <= settle and members.join(ends, "chain", "left_semi").count() <= settle:
+            ends = steps.put("ends", ends)
+            rest, held = members.join(ends, "chain", "left_anti").select("piece", "chain"), members.join(ends, "chain", "left_semi")
             none = lambda *names: [F.lit(None).cast("double").alias(n) for n in names]
-            rows = members.select("piece", "chain", "tile", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), *none("cost"), F.lit(None).cast(live.schema["link"].dataType).alias("link"))
+            rows = held.select("piece", "chain", "tile", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), *none("cost"), F.lit(None).cast(live.schema["link"].dataType).alias("link"))
             rows = rows.unionByName(live.select(F.col("ca").alias("piece"), F.col("cb").alias("chain"), F.lit(None).cast(pieces.schema["tile"].dataType).alias("tile"), *none("low", "high"), F.col("cost").cast("double").alias("cost"), "link"))
-            return rows.coalesce(1).mapInArrow(_one_by_one(overlap), members.select("piece", "chain").schema)
+            return rows.coalesce(1).mapInArrow(_one_by_one(overlap), rest.schema).unionAll(rest)
         pairs = steps.put("pairs", live.select("ca", "cb").distinct())
         side = lambda c, p: pairs.join(members.select(F.col("chain").alias(c), F.col("tile").alias(f"{p}tile"), F.col("low").alias(f"{p}low"), F.col("high").alias(f"{p}high")), c)
         clash = (F.col("ptile") == F.col("qtile")) & (F.least("phigh", "qhigh") - F.greatest("plow", "qlow") > overlap)
