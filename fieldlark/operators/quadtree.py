@@ -11,12 +11,15 @@ must be so that there are ``most_cells`` leaves at most, whatever the rows
 A box belongs to all leaves that it meets, found in one Arrow pass over its four
 numbers without a shuffle. Pairs of a join are given out in the leaf that holds
 the corner their boxes share, so no distinct is needed. Boxes that lie on one
-point can't be parted by cells; such a leaf is left to the engine's skew join.
+point can't be parted by cells. ``join_by_cells`` deals tasks by the pairs they
+try, not by the bytes they read, and slices cells with too many of them.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from fieldlark.session import Steps
 
 STRIDE = 5
+TRIED = 2_000_000  # pairs that a task of a join tries
+MOST_TASKS = 10_000
 _X, _D = 28, 56  # a cell's key: depth, column, row
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -128,6 +133,35 @@ def quadtree(boxes: DataFrame, box: Sequence[str] = BOX, *, most: int = 2_000, d
     return Quadtree(left, low, side, np.array(sorted(found), np.int64))
 
 
+def join_by_cells(left: DataFrame, right: DataFrame, cells: Sequence[tuple[str, str]], more: Column, *, tried: int | None = None) -> DataFrame:
+    """Pairs of rows with equal cells (names of a column of either side) for which ``more`` holds.
+
+    The engine deals tasks by bytes, but few bytes of crowded cells are many
+    pairs. Pairs to try are counted per cell first: a task gets ``tried`` of them
+    (TRIED) or so (more only past MOST_TASKS), and a cell with more is done in slices of its larger side.
+    """
+    tried, names = tried or TRIED, [f"cell{i}_" for i in range(len(cells))]
+    on = functools.reduce(operator.and_, (F.col(a) == F.col(b) for a, b in cells))
+    count = lambda df, side, n: df.groupBy(*(F.col(c[side]).alias(name) for c, name in zip(cells, names))).agg(F.count(F.lit(1)).alias(n))
+    per = count(left, 0, "nl_").join(count(right, 1, "nr_").hint("merge"), names).withColumn("pairs_", F.col("nl_") * F.col("nr_"))
+    pairs = per.agg(F.sum("pairs_")).first()[0] or 0
+    if pairs <= tried:
+        return left.join(right, on & more)
+    tasks = min(math.ceil(pairs / tried), MOST_TASKS)
+    each = max(tried, math.ceil(pairs / tasks))
+    steps = Steps(left.sparkSession)  # of cells with more than ``each``: fewer than there are tasks
+    crowded = steps.put("crowded", per.where(F.col("pairs_") > each).select(*names, F.ceil(F.col("pairs_") / each).alias("slices_"), (F.col("nl_") >= F.col("nr_")).alias("wider_")))
+
+    def sliced(df: DataFrame, side: int, name: str) -> DataFrame:
+        own = F.col("wider_") == F.lit(side == 0)
+        slices = F.when(F.col("slices_").isNull(), F.array(F.lit(0).cast("long"))).when(own, F.array(F.pmod(F.xxhash64(*df.columns), "slices_"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices_") - 1))
+        held = df.join(F.broadcast(crowded), functools.reduce(operator.and_, (F.col(c[side]) == F.col(n) for c, n in zip(cells, names))), "left")
+        return held.select(*df.columns, F.explode(slices).alias(name)).repartition(tasks, *(c[side] for c in cells), name)
+
+    met = sliced(left, 0, "slice_").join(sliced(right, 1, "slice_r_").hint("merge"), on & (F.col("slice_") == F.col("slice_r_")) & more)
+    return met.drop("slice_", "slice_r_")
+
+
 def adaptive_box_join(left: DataFrame, right: DataFrame, box: Sequence[str] = BOX, *, keys: Sequence[str] = (), grow: float = 0.0, most: int = 2_000) -> DataFrame:
     """Pairs of boxes that meet (after growing the left by ``grow``), columns as l_ and r_, by cells of a tree over both sides."""
     lows, highs = box[:2], box[2:]
@@ -135,11 +169,9 @@ def adaptive_box_join(left: DataFrame, right: DataFrame, box: Sequence[str] = BO
     tree = quadtree(left.select(*(g.cast("double").alias(c) for g, c in zip(grown, box))).unionAll(right.select(*(F.col(c).cast("double").alias(c) for c in box))), box, most=most)
     l_ = left.select(*(F.col(c).alias(f"l_{c}") for c in left.columns), F.explode(tree.cells(*grown)).alias("cell_"))
     r_ = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), F.explode(tree.cells(*(F.col(c) for c in box))).alias("cell_r_"))
-    on = F.col("cell_") == F.col("cell_r_")
-    for k in keys:
-        on = on & (F.col(f"l_{k}") == F.col(f"r_{k}"))
-    corner = []
+    meet, corner = F.lit(True), []
     for low, high in zip(lows, highs):
-        on = on & (F.col(f"l_{low}") - grow <= F.col(f"r_{high}")) & (F.col(f"r_{low}") <= F.col(f"l_{high}") + grow)
+        meet = meet & (F.col(f"l_{low}") - grow <= F.col(f"r_{high}")) & (F.col(f"r_{low}") <= F.col(f"l_{high}") + grow)
         corner.append(F.greatest(F.col(f"l_{low}") - grow, F.col(f"r_{low}")))
-    return l_.join(r_, on & tree.holds(F.col("cell_"), *corner)).drop("cell_", "cell_r_")
+    cells = [("cell_", "cell_r_"), *((f"l_{k}", f"r_{k}") for k in keys)]
+    return join_by_cells(l_, r_, cells, meet & tree.holds(F.col("cell_"), *corner)).drop("cell_", "cell_r_")
