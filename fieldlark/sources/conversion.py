@@ -18,6 +18,7 @@ with equal tile and seq are told apart by nothing and get ids in any order.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Mapping
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql.window import Window
 from fieldlark.functions.text import padded, parse_tile_id
 from fieldlark.operators.geometry import box_ring, drop_repeats, from_wkb, line_length, ring_area, to_wkb
 from fieldlark.operators.layers import ENUMS
+from fieldlark.session import Steps
 
 #: Label, its kind of shape, its layer, its attributes.
 LABELS = {
@@ -67,28 +69,77 @@ def _attribute(name: str, synonyms: Mapping[str, str], needed: Column) -> tuple[
     return value, [missing, _issue((held != "") & fits & (known != raw), "warning", "enum_normalized", F.lit(f"{name} read as "), known), _issue((held != "") & ~fits, "error", "bad_enum", F.lit(f"{name} is not allowed: "), held)]
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, k) for n, k in (("geometry", T.BinaryType()), ("n_vertices", T.IntegerType()), ("distinct", T.IntegerType()), ("measure", T.DoubleType()), ("bounds", T.ArrayType(T.DoubleType())), ("swapped", T.BooleanType()))]))
+_FORM = ("geometry", "n_vertices", "distinct", "measure", "bounds", "swapped")
+
+
+def _form(kind: str | None, flat: np.ndarray | None, x: float, y: float, g: float) -> tuple:
+    """What _FORM names, of one shape."""
+    px = np.asarray([] if flat is None else flat, float)
+    px = px[: len(px) // 2 * 2].reshape(-1, 2)
+    px = px[~np.isnan(px).any(axis=1)]
+    swapped = False
+    if kind == "box":
+        swapped = len(px) == 2 and bool((px[0] > px[1]).any())
+        px = box_ring(*px.min(0), *px.max(0)) if len(px) == 2 else px[:0]
+    px = drop_repeats(px, kind != "polyline")
+    if not len(px):
+        return None, 0, 0, 0.0, None, False
+    m = px * (g, -g) + (x, y)
+    bounds = [*px.min(0), *px.max(0)]
+    if kind == "polyline":
+        return to_wkb("line", m), len(px), len(np.unique(px, axis=0)), line_length(m), bounds, False
+    area = ring_area(m)
+    return to_wkb("polygon", [m if area >= 0 else m[::-1]]), len(px), len(np.unique(px, axis=0)), abs(area), bounds, swapped
+
+
+def _plain_forms(line: bool, px: np.ndarray, x: np.ndarray, y: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """(which, forms) of many shapes of one number of points (shapes, points, 2), by whole arrays; shapes with missing or repeated points are left out."""
+    m = np.stack((px[:, :, 0] * g[:, None] + x[:, None], px[:, :, 1] * -g[:, None] + y[:, None]), axis=2)
+    plain = ~np.isnan(m).any(axis=(1, 2)) & ~np.isnan(px).any(axis=(1, 2)) & (px[:, 1:] != px[:, :-1]).any(axis=2).all(axis=1)
+    if not line:
+        plain &= (px[:, 0] != px[:, -1]).any(axis=1) & (m[:, 0] != m[:, -1]).any(axis=1)
+    px, m = px[plain], m[plain]
+    n = px.shape[1]
+    ranked = np.sort(px[:, :, 0] + 1j * px[:, :, 1], axis=1)
+    distinct = 1 + (ranked[:, 1:] != ranked[:, :-1]).sum(axis=1)
+    bounds = np.concatenate((px.min(axis=1), px.max(axis=1)), axis=1)
+    if line:
+        measure = np.hypot(np.diff(m[:, :, 0], axis=1), np.diff(m[:, :, 1], axis=1)).sum(axis=1)
+        head, data = struct.pack("<BII", 1, 2, n), m
+    else:
+        u, v = m[:, :, 0] - m[:, :1, 0], m[:, :, 1] - m[:, :1, 1]
+        area = (u * np.roll(v, -1, axis=1) - np.roll(u, -1, axis=1) * v).sum(axis=1) / 2 if n > 2 else np.zeros(len(m))
+        measure, turned = np.abs(area), np.where((area >= 0)[:, None, None], m, m[:, ::-1])
+        head, data = struct.pack("<BIII", 1, 3, 1, n + 1), np.concatenate((turned, turned[:, :1]), axis=1)
+    raw, size = np.ascontiguousarray(data, "<f8").tobytes(), 16 * data.shape[1]
+    forms = [(head + raw[i * size : (i + 1) * size], n, d, f, b, False) for i, (d, f, b) in enumerate(zip(distinct.tolist(), measure.tolist(), bounds.tolist()))]
+    return np.flatnonzero(plain), forms
+
+
+def _batch_forms(kind: pd.Series, points: pd.Series, x0: pd.Series, y0: pd.Series, gsd: pd.Series) -> list[tuple]:
+    """_form of all shapes: those of one kind and number of points at once, what is not plain one by one."""
+    out: list[tuple | None] = [None] * len(kind)
+    alike: dict[tuple, list[int]] = {}
+    for i, (k, p) in enumerate(zip(kind, points)):
+        if p is not None and len(p) > 3 and (k != "box" or len(p) // 2 == 2):
+            alike.setdefault((k if k in ("polyline", "box") else "", len(p) // 2), []).append(i)
+    x, y, g = (c.to_numpy(float, na_value=np.nan) for c in (x0, y0, gsd))
+    for (k, n), at in alike.items():
+        px = np.stack([np.asarray(points.iloc[i][: 2 * n], float) for i in at]).reshape(len(at), n, 2)
+        rows, swapped = np.array(at), np.zeros(len(at), bool)
+        if k == "box":
+            swapped = (px[:, 0] > px[:, 1]).any(axis=1)
+            (u0, v0), (u1, v1) = px.min(axis=1).T, px.max(axis=1).T
+            px = np.stack([np.column_stack(c) for c in ((u0, v0), (u1, v0), (u1, v1), (u0, v1))], axis=1)
+        which, forms = _plain_forms(k == "polyline", px, x[rows], y[rows], g[rows])
+        for j, form in zip(which, forms):
+            out[at[j]] = (*form[:-1], bool(swapped[j]))
+    return [_form(*r) if f is None else f for f, r in zip(out, zip(kind, points, x0, y0, gsd))]
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, k) for n, k in zip(_FORM, (T.BinaryType(), T.IntegerType(), T.IntegerType(), T.DoubleType(), T.ArrayType(T.DoubleType()), T.BooleanType()))]))
 def _forms(kind: pd.Series, points: pd.Series, x0: pd.Series, y0: pd.Series, gsd: pd.Series) -> pd.DataFrame:
-    def one(kind: str | None, flat: np.ndarray | None, x: float, y: float, g: float) -> tuple:
-        px = np.asarray([] if flat is None else flat, float)
-        px = px[: len(px) // 2 * 2].reshape(-1, 2)
-        px = px[~np.isnan(px).any(axis=1)]
-        swapped = False
-        if kind == "box":
-            swapped = len(px) == 2 and bool((px[0] > px[1]).any())
-            px = box_ring(*px.min(0), *px.max(0)) if len(px) == 2 else px[:0]
-        px = drop_repeats(px, kind != "polyline")
-        if not len(px):
-            return None, 0, 0, 0.0, None, False
-        m = px * (g, -g) + (x, y)
-        bounds = [*px.min(0), *px.max(0)]
-        if kind == "polyline":
-            return to_wkb("line", m), len(px), len(np.unique(px, axis=0)), line_length(m), bounds, False
-        area = ring_area(m)
-        return to_wkb("polygon", [m if area >= 0 else m[::-1]]), len(px), len(np.unique(px, axis=0)), abs(area), bounds, swapped
-
-    rows = [one(*r) for r in zip(kind, points, x0, y0, gsd)]
-    return pd.DataFrame(rows, columns=["geometry", "n_vertices", "distinct", "measure", "bounds", "swapped"])
+    return pd.DataFrame(_batch_forms(kind, points, x0, y0, gsd), columns=list(_FORM))
 
 
 def _pixels(kind: str, decimals: int):
@@ -138,9 +189,11 @@ def document_objects(shapes: DataFrame, tiles: DataFrame, *, side: int = 2048, l
     found.append(F.when(allowed & ~unnamed, _issue(F.col("small"), "error", "geom_dropped", F.lit("too small: "), F.col("kind"))))
     found.append(F.when(allowed, _issue(F.col("swapped") & ~F.col("small"), "warning", "geom_repaired", F.lit("corners were swapped"))))
 
-    checked = at.withColumns({**values, "found": F.filter(F.array(*found), lambda i: i.isNotNull()), "usable": allowed & ~unnamed & ~F.col("small")})
+    checked = at.withColumns({**values, "found": F.filter(F.array(*found), lambda i: i.isNotNull()).cast(_NO_ISSUES), "usable": allowed & ~unnamed & ~F.col("small")})
+    # written, as issues and each layer read it: forms are made once, not once per reader
+    checked = Steps(shapes.sparkSession).put("checked", checked.select("tile_id", "seq", "label", "geometry", "n_vertices", "measure", "bounds", "gsd", *values, "found", "usable"))
     name = F.concat(F.coalesce("label", F.lit("null")), F.lit("["), F.col("seq").cast("string"), F.lit("]"))
-    issues = checked.select("tile_id", name.alias("object_id"), F.inline(F.col("found").cast(_NO_ISSUES))).select("severity", "code", "tile_id", "object_id", "message")
+    issues = checked.select("tile_id", name.alias("object_id"), F.inline("found")).select("severity", "code", "tile_id", "object_id", "message")
     return checked.where("usable").select("tile_id", "seq", "label", "geometry", "n_vertices", "measure", "bounds", "gsd", *values), issues
 
 
