@@ -448,18 +448,20 @@ def best_tour(t: Tables) -> DataFrame:
     """Closed tours over the suppliers of each nation group, exact or improved by a fixed number of sweeps."""
     import numpy as np
 
-    p = t.supplier.select((F.col("s_nationkey") % 5).alias("block"), "s_suppkey", (F.col("s_suppkey") % 97).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"))
+    from fieldlark.operators import tours as R
+
+    p = t.supplier.select((F.col("s_nationkey") % 5).cast("long").alias("block"), "s_suppkey", (F.col("s_suppkey") % 97).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"))
 
     def run(g):
         import pandas as pd
 
         g = g.sort_values("s_suppkey")
         xy = g[["x", "y"]].to_numpy()
-        d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
-        tour = G.improve_tour(d, G.nearest_neighbour_tour(d), 5)
+        tour = R.improve_tour(xy, R.nearest_neighbour_tour(xy), 5)
         return pd.DataFrame({"block": g["block"].iloc[0], "seq": np.arange(len(tour)), "s_suppkey": g["s_suppkey"].to_numpy()[tour]})
 
-    return p.groupBy("block").applyInPandas(run, "block long, seq long, s_suppkey long")
+    apart = p.repartition(20, "block")  # a task a block: few bytes are much work, and small partitions would be put together
+    return apart.groupBy("block").applyInPandas(run, "block long, seq long, s_suppkey long")
 
 
 @query("tile_raster_masks")
