@@ -57,17 +57,7 @@ def _local_stars(links: DataFrame) -> DataFrame:
         a, b = (table.column(i).combine_chunks() for i in (0, 1))
         names, at = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False) for x in (a, b)]), return_inverse=True)
         a, b = at[: len(a)], at[len(a) :]
-        label = np.arange(len(names))
-        while True:
-            low = label.copy()
-            for x, y in ((a, b), (b, a)):
-                np.minimum.at(low, label[x], label[y])
-                np.minimum.at(low, x, label[y])
-            while (low != (jump := low[low])).any():
-                low = jump
-            if (low == label).all():
-                break
-            label = low
+        label = least_reached(a, b, len(names))
         moved = np.flatnonzero(label != np.arange(len(names)))
         yield pa.RecordBatch.from_arrays([pa.array(names[moved], schema.types[0]), pa.array(names[label[moved]], schema.types[1])], schema=schema)
 
@@ -75,6 +65,21 @@ def _local_stars(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, links.schema)
 
 
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of nodes 0 to n - 1 that each reaches over links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(low, label[x], label[y])
+            np.minimum.at(low, x, label[y])
+        while (low != (jump := low[low])).any():
+            low = jump
+        if (low == label).all():
+            return label
+        label = low
+
+
 def adjacency(edges: DataFrame, weight: str) -> DataFrame:
     """(a, b, weight) both ways, parallel edges to the least weight, no loops."""
     one = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(weight).alias(weight))

@@ -123,15 +123,15 @@ def whole_parts(profile: DataFrame, taken: DataFrame, least: int, *, block: int
 
 
 def necks(labelled: DataFrame, how: Necks) -> tuple[DataFrame, DataFrame]:
-    """((place, slice, depth) of the necks to cut, (place, y, x, slice) of the pixels of all places looked at)."""
+    """((place, slice, depth, n) of the necks to cut, n their pixels, and (place, y, x, slice) of the pixels of all places looked at, made anew where they are used)."""
     steps = Steps(labelled.sparkSession)
-    axis = axes(labelled).where((F.greatest("wide", "high") >= how.along / 2**0.5) & (F.col("n") >= 2 * how.part))
-    pixels = steps.put("pixels", slices(labelled, axis, how.slice_px))
+    axis = steps.put("axes", axes(labelled).where((F.greatest("wide", "high") >= how.along / 2**0.5) & (F.col("n") >= 2 * how.part)))
+    pixels = slices(labelled, axis, how.slice_px)
     counts = pixels.groupBy("place", "slice").agg(F.count(F.lit(1)).alias("n"))
     long = counts.groupBy("place").agg(F.max("slice").alias("last")).where((F.col("last") + 1) * how.slice_px >= how.along)
     profile = steps.put("profile", counts.join(long.select("place"), "place", "left_semi"))
     found = steps.put("valleys", valleys(profile, how))
-    return steps.put("necks", whole_parts(profile, spread(found, how.apart), how.part)), pixels
+    return steps.put("necks", whole_parts(profile, spread(found, how.apart), how.part).join(profile, ["place", "slice"])), pixels
 
 
 def split_at_necks(labelled: DataFrame, how: Necks, keys: Sequence[str] = (), *, diagonal: bool = False) -> DataFrame:

@@ -46,8 +46,8 @@ SELECT first // 1000 AS first_y, first % 1000 AS first_x, i::BIGINT AS slice, de
 def neck_cuts(t: Tables) -> DataFrame:
     """Slices at which touching crowns are cut, with their pixels."""
     labelled = L.label_runs(_crown_runs(t))
-    cuts, pixels = N.necks(labelled, _NECKS)
-    cleared = pixels.join(cuts, ["place", "slice"]).groupBy("place", "slice", "depth").agg(F.count(F.lit(1)).alias("n_cleared"))
+    cuts, _ = N.necks(labelled, _NECKS)
+    cleared = cuts.withColumnRenamed("n", "n_cleared")
     return cleared.join(L.places(labelled).select("place", "first_y", "first_x"), "place").drop("place")
 
 
