@@ -83,6 +83,19 @@ def test_chains(spark, seed, settle):
     assert {x.piece: x.chain for x in got.collect()} == chained(pieces, links, 0.5)
 
 
+@pytest.mark.parametrize("held, rounds", [(1_000_000, 8), (60, 60)])
+def test_chains_of_few_hubs(spark, held, rounds):
+    """Links that all meet three chains settle many a round; chains of over ``held`` members settle theirs by both sides."""
+    r = random.Random(6)
+    pieces = [(k, r.randrange(2) if k % 9 else None, lo := r.randrange(0, 400) / 2, lo + r.randrange(1, 9) / 2 if k % 11 else None) for k in range(120)]
+    links = [(k, (k * s) % 3, r.randrange(9) / 4 if k % 40 else None, 2 * k + s - 1) for k in range(3, 120) for s in (1, 2)]
+    got = U.chains(spark.createDataFrame(pieces, "piece long, tile int, low double, high double"), spark.createDataFrame(links, "a long, b long, cost double, link long"), overlap=0.5, settle=60, most_rounds=rounds, held=held)
+    free = [(p, f"none{p}" if tile is None or high is None else tile, low, high or low) for p, tile, low, high in pieces]
+    want = chained(free, [(a, b, -1 if cost is None else cost, link) for a, b, cost, link in links], 0.5)
+    assert {x.piece: x.chain for x in got.collect()} == want
+    assert max(Counter(want.values()).values()) > 25
+
+
 def test_registered_chains(spark, sf_dir):
     from fieldlark.plans.catalog import QUERIES
 
